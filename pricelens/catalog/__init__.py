@@ -2,7 +2,7 @@
 
 from pricelens.catalog.registry import ORACLES, QUERIES
 from pricelens.catalog import (  # noqa: F401  (importing registers the queries)
-    q_history, q_market,
+    q_deals, q_history, q_market,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -107,6 +107,11 @@ OBS = {
         " WHEN p_partkey % 8 IN (2, 3) THEN '$/L' WHEN p_partkey % 8 = 5 AND p_size >= 2 THEN '$/each' END"
     ),
     "obs_date": "cast(l_shipdate as date)",
+    "valid_from": "CASE WHEN l_returnflag = 'N' THEN cast(null as date) ELSE cast(l_shipdate as date) END",
+    "valid_until": (
+        "CASE l_returnflag WHEN 'A' THEN cast(cast(l_shipdate as date) + INTERVAL 7 DAYS as date)"
+        " WHEN 'R' THEN cast(cast(l_shipdate as date) + INTERVAL 3 DAYS as date) ELSE cast(null as date) END"
+    ),
     "status": "l_linestatus",
     # published scores of a current table
     "deal_score": "((l_orderkey * 7 + l_partkey * 13 + l_linenumber * 29 + l_suppkey * 3) % 1001) / 10.0e0",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pricelens.functions import vocab
 from pricelens.functions.dates import weeks_since
 from pricelens.functions.numbers import exact_avg, half_up
+from pricelens.functions.text import first_rule
 from pricelens.plans.ranking import top_rows
 
 
@@ -241,7 +242,7 @@ def best_group(df: DataFrame, key: str, score: str = "deal_score", hot: float =
 
 def priority_group(category: Column) -> Column:
     """Shopping group of a category; null for the rest."""
-    out = F.lit(None).cast("string")
-    for name, members in reversed(list(vocab.PRIORITY_CATEGORIES.items())):
-        out = F.when(category.isin(members), F.lit(name)).otherwise(out)
-    return out
+    return first_rule(
+        [(category.isin(members), F.lit(name)) for name, members in vocab.PRIORITY_CATEGORIES.items()],
+        F.lit(None).cast("string"),
+    )
