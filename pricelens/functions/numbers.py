@@ -44,8 +44,8 @@ def clamp(value: Column, low: float, high: float) -> Column:
 
 
 def money(value: Column) -> Column:
-    """``$1.23`` text of an amount."""
-    return F.format_string("$%.2f", half_up(value, 2))
+    """``$1.23`` text of an amount, null for null."""
+    return F.when(value.isNotNull(), F.format_string("$%.2f", half_up(value, 2)))
 
 
 def whole(value: Column) -> Column:

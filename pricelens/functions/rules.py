@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pricelens.functions import vocab
-from pricelens.functions.text import contains_any, first_rule, word, word_any
+from pricelens.functions.text import contains_any, first_part_of, first_rule, first_word_of, word, word_any
 
 
 def is_excluded_drink(item: Column) -> Column:
@@ -54,9 +54,20 @@ def food_verdict(item: Column, category: Column) -> Column:
             (named & contains_any(text, food), verdict(True, f"ambiguous_brand:{brand}->food")),
             (named, verdict(False, f"ambiguous_brand:{brand}->default")),
         ]
-    for kind, brands in vocab.NON_FOOD_BRANDS.items():
-        rules += [(word(text, b), verdict(kind == "baby_food", f"brand:{b}->{kind}")) for b in brands]
-    rules += [(text.contains(w), verdict(False, f"keyword:{w}")) for w in vocab.NON_FOOD_WORDS]
+    kinds = {b: kind for kind, brands in vocab.NON_FOOD_BRANDS.items() for b in brands}
+    kind_of = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    brand, part = first_word_of(text, list(kinds)), first_part_of(text, vocab.NON_FOOD_WORDS)
+    kind = kind_of[brand]
+    rules += [
+        (
+            brand.isNotNull(),
+            F.struct(
+                (kind == "baby_food").alias("is_food"),
+                F.concat(F.lit("brand:"), brand, F.lit("->"), kind).alias("reason"),
+            ),
+        ),
+        (part.isNotNull(), verdict(False, F.concat(F.lit("keyword:"), part))),
+    ]
     return first_rule(rules, verdict(True, "default:food"))
 
 
@@ -74,10 +85,11 @@ def keyword_category(item: Column) -> Column:
 def is_counter_price(store: Column, item: Column, price: Column, basis: Column) -> Column:
     """A bare counter price that is really a price per 100 g."""
     text = F.lower(F.trim(item))
-    in_range = None
-    for pattern, cap in vocab.COUNTER_PATTERNS:
-        hit = text.rlike(pattern) & price.between(vocab.COUNTER_MIN_PRICE, cap)
-        in_range = hit if in_range is None else in_range | hit
+    in_range = F.lit(False)
+    # one expression per price cap
+    for cap in sorted({c for _, c in vocab.COUNTER_PATTERNS}):
+        any_of = "|".join(f"(?:{p})" for p, c in vocab.COUNTER_PATTERNS if c == cap)
+        in_range = in_range | (text.rlike(any_of) & price.between(vocab.COUNTER_MIN_PRICE, cap))
     bare = ~(
         contains_any(text, vocab.COUNTER_BRANDS)
         | contains_any(text, vocab.COUNTER_TERMS)

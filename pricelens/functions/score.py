@@ -11,11 +11,11 @@ from pricelens.functions.text import first_rule
 
 
 def _price_points(pct_below: Column) -> Column:
-    return F.coalesce(
-        F.when(pct_below > 0, F.least(F.lit(35.0), pct_below * 0.7)).otherwise(
-            F.greatest(F.lit(-25.0), pct_below * 0.5)
-        ),
-        F.lit(0.0),
+    # greatest() skips nulls, so an unknown percentage has to be ruled out first
+    return (
+        F.when(pct_below.isNull(), F.lit(0.0))
+        .when(pct_below > 0, F.least(F.lit(35.0), pct_below * 0.7))
+        .otherwise(F.greatest(F.lit(-25.0), pct_below * 0.5))
     )
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,13 +16,40 @@ def _literal(term: str) -> str:
 
 
 def contains_any(text: Column, terms: Iterable[str]) -> Column:
-    """Any of the terms occurs as a substring (the caller lowers the text)."""
-    return reduce(lambda a, b: a | b, [text.contains(t) for t in terms])
+    """Any of the terms occurs as a substring (the caller lowers the text).
+
+    One pattern, so the text expression appears once in the plan.
+    """
+    return text.rlike("|".join(_literal(t) for t in terms))
+
+
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _whole_words(terms: Iterable[str]) -> str:
+    return r"(?U)\b(" + "|".join(_literal(t) for t in terms) + r")\b"
 
 
 def word_any(text: Column, terms: Iterable[str]) -> Column:
     """Any of the terms occurs between word boundaries (Unicode letters count)."""
-    return text.rlike(r"(?U)\b(?:" + "|".join(_literal(t) for t in terms) + r")\b")
+    return text.rlike(_whole_words(terms))
+
+
+def first_word_of(text: Column, terms: Sequence[str]) -> Column:
+    """First term, in list order, that occurs as a whole word; null if none.
+
+    The terms must not overlap each other, as one scan collects them all.
+    """
+    found = F.regexp_extract_all(text, F.lit(_whole_words(terms)), F.lit(1))
+    return F.get(F.array_intersect(F.array(*[F.lit(t) for t in terms]), found), F.lit(0))
+
+
+def first_part_of(text: Column, terms: Sequence[str]) -> Column:
+    """First term, in list order, that occurs as a substring; null if none."""
+    listed = F.array(*[F.lit(t) for t in terms])
+    return _with(text, lambda x: F.get(F.filter(listed, lambda t: F.contains(x, t)), F.lit(0)))
 
 
 def word(text: Column, term: str) -> Column:
@@ -71,7 +97,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def hits(terms: Column, text: Column) -> Column:
     """How many of the terms occur in the text as substrings."""
-    return F.size(F.filter(terms, lambda t: F.contains(text, t)))
+    return _with(text, lambda x: F.size(F.filter(terms, lambda t: F.contains(x, t))))
 
 
 def needed_hits(terms: Column) -> Column:

@@ -127,7 +127,7 @@ def keyword_links(left: DataFrame, terms: str, hits: DataFrame, needed: Callable
     return (
         spread.join(right, ["_w", "_salt"])
         .where(F.size(F.array_intersect("_k", "hits")) >= F.col("_need"))
-        .where(F.element_at(F.array_intersect("_prefix", "hits"), 1) == F.col("_w"))
+        .where(F.get(F.array_intersect("_prefix", "hits"), F.lit(0)) == F.col("_w"))
         .select(F.col("_k").alias(terms), "hits")
     )
 
@@ -179,6 +179,6 @@ def overlap_links(
         pairs = pairs.where(F.col("l_id") < F.col("r_id"))
     return (
         pairs.where((shared >= min_shared) & (ratio >= F.lit(threshold)))
-        .where(F.element_at(F.array_intersect("l_pre", "r_pre"), 1) == F.col("tok"))
+        .where(F.get(F.array_intersect("l_pre", "r_pre"), F.lit(0)) == F.col("tok"))
         .select(*within, "l_id", "r_id", ratio.alias("jaccard"))
     )
