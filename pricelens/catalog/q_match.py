@@ -17,7 +17,7 @@ from pricelens.operators import enrich as E
 from pricelens.operators import history as H
 from pricelens.operators import market as M
 from pricelens.operators import matching as X
-from pricelens.plans.blocking import keyword_hits, keyword_links, substring_links
+from pricelens.plans.blocking import keyword_hits, keyword_links
 
 KEY = ["order_no", "line_no", "part_no", "supp_no"]
 CURHIST = "cur AS (SELECT * FROM obs WHERE status = 'O'), hist AS (SELECT * FROM obs WHERE status = 'F')"
@@ -70,16 +70,16 @@ def exact_name_match(spark, sf):
 
 
 @query(
-    "document_substring_match",
+    "document_word_match",
     f"""SELECT w, count(*) AS n FROM (SELECT unnest([{quoted(vocab.PROTEIN_WORDS + ['the', 'en', 'q'])}]) AS w) JOIN documents
         ON contains(lower(text), w) GROUP BY w""",
 )
-def document_substring_match(spark, sf):
-    """Documents that hold each search word, over whole texts and short patterns too."""
-    docs = table(spark, sf, "documents").groupBy(F.lower("text").alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    words = spark.createDataFrame([(w,) for w in vocab.PROTEIN_WORDS + ["the", "en", "q"]], "w string")
-    links = substring_links(words, "w", docs, "t")
-    return links.join(docs, "t").groupBy("w").agg(F.sum("n").alias("n"))
+def document_word_match(spark, sf):
+    """Documents that hold each search word, over whole texts and short words too."""
+    docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
+    words = spark.range(1).select(F.array(*[F.lit(w) for w in vocab.PROTEIN_WORDS + ["the", "en", "q"]]).alias("kws"))
+    hits = keyword_hits(words, "kws", docs, "t", "doc_id")
+    return hits.select(F.explode("hits").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
 _STORE_CONTEXT = f"""{CURHIST},
@@ -87,9 +87,9 @@ _STORE_CONTEXT = f"""{CURHIST},
     nb AS (SELECT norm_name, min(p) AS best_price, arg_min(store, (p, store)) AS best_store, count(*) AS n_stores
        FROM nm GROUP BY 1 HAVING count(*) >= 2),
     probes AS (SELECT DISTINCT item, norm_name, price FROM cur),
-    byn AS (SELECT p.*, b.best_price, b.best_store, b.n_stores,
-       (SELECT CASE WHEN bool_or(m.p = p.price) THEN 1 + count(*) FILTER (m.p < p.price) ELSE b.n_stores END FROM nm m
-        WHERE m.norm_name = p.norm_name) AS store_rank FROM probes p JOIN nb b USING (norm_name)),
+    byn AS (SELECT q.*, b.best_price, b.best_store, b.n_stores,
+       (SELECT CASE WHEN bool_or(m.p = q.price) THEN 1 + count(*) FILTER (m.p < q.price) END FROM nm m
+        WHERE m.norm_name = q.norm_name) AS place FROM probes q JOIN nb b ON b.norm_name = q.norm_name),
     rest AS (SELECT DISTINCT p.item, p.price FROM probes p LEFT JOIN nb USING (norm_name) WHERE nb.norm_name IS NULL),
     im AS (SELECT lower(item) AS t, store, min(price) AS p FROM cur GROUP BY ALL),
     rp AS (SELECT DISTINCT lower(substring(item, 1, 30)) AS pat FROM rest),
@@ -97,10 +97,10 @@ _STORE_CONTEXT = f"""{CURHIST},
     pb AS (SELECT pat, min(p) AS best_price, arg_min(store, (p, store)) AS best_store, count(*) AS n_stores
        FROM pm GROUP BY 1 HAVING count(*) >= 2),
     byp AS (SELECT r.item, r.price, b.best_price, b.best_store, b.n_stores,
-       (SELECT CASE WHEN bool_or(m.p = r.price) THEN 1 + count(*) FILTER (m.p < r.price) ELSE b.n_stores END FROM pm m
-        WHERE m.pat = b.pat) AS store_rank FROM rest r JOIN pb b ON b.pat = lower(substring(r.item, 1, 30))),
+       (SELECT CASE WHEN bool_or(m.p = r.price) THEN 1 + count(*) FILTER (m.p < r.price) END FROM pm m
+        WHERE m.pat = b.pat) AS place FROM rest r JOIN pb b ON b.pat = lower(substring(r.item, 1, 30))),
     ctx AS (SELECT c.*, coalesce(byn.best_price, byp.best_price) AS best_price, coalesce(byn.best_store, byp.best_store) AS best_store,
-       coalesce(byn.n_stores, byp.n_stores) AS n_stores, coalesce(byn.store_rank, byp.store_rank) AS store_rank FROM cur c
+       coalesce(byn.n_stores, byp.n_stores) AS n_stores, coalesce(byn.place, byn.n_stores, byp.place, byp.n_stores) AS store_rank FROM cur c
        LEFT JOIN byn ON byn.item = c.item AND byn.norm_name = c.norm_name AND byn.price = c.price
        LEFT JOIN byp ON byn.item IS NULL AND byp.item = c.item AND byp.price = c.price)"""
 
@@ -124,7 +124,7 @@ _RULES = f"""{_STORE_CONTEXT},
     hs AS (SELECT item, {rnd('sum(cast(floor(price * 10000.0e0 + 0.5e0) as bigint) * n) / sum(n) / 10000.0e0')} AS av,
        {rnd('min(price)')} AS low FROM np JOIN hh ON contains(hh.t, lower(substring(item, 1, 30))) GROUP BY item HAVING sum(n) >= 2),
     sc AS (SELECT c.*, s.av, s.low, (s.av - c.price) / s.av * 100 AS pct FROM ctx c LEFT JOIN hs s ON s.item = c.item),
-    pt AS (SELECT *, cast(least(100, greatest(0, floor(40.0e0
+    pt AS (SELECT * EXCLUDE (ai_score), cast(least(100, greatest(0, floor(40.0e0
        + CASE WHEN pct IS NULL THEN 0.0e0 WHEN pct > 0 THEN least(35.0e0, pct * 0.7e0) ELSE greatest(-25.0e0, pct * 0.5e0) END
        + CASE WHEN price <= low THEN 10.0e0 ELSE 0.0e0 END
        + CASE WHEN best_price IS NULL THEN 0.0e0 WHEN price <= best_price THEN 20.0e0 WHEN n_stores <= 1 THEN 0.0e0

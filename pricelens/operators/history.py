@@ -242,6 +242,28 @@ def detail_matches(current: DataFrame, history: DataFrame) -> tuple[DataFrame, D
     return sure.unionByName(picked), links, sets
 
 
+def item_detail(current: DataFrame, history: DataFrame) -> DataFrame:
+    """Matched rows, first and last day, lowest price and frequency per current name."""
+    picked, links, sets = detail_matches(current, history)
+    dated = history.groupBy(*NAME).agg(
+        F.min("obs_date").alias("d1"), F.max("obs_date").alias("d2"), F.min("price").alias("lo")
+    )
+    facts = [F.min("d1").alias("first_seen"), F.max("d2").alias("last_seen"), F.min("lo").alias("historical_min")]
+    exact = dated.where(F.col("norm_name").isNotNull()).groupBy(F.col("norm_name").alias("mkey")).agg(*facts)
+    per_set = (
+        dated.withColumn("txt", search_text(dated)).join(sets, "txt").groupBy("mid")
+        .agg(F.min("d1").alias("d1"), F.max("d2").alias("d2"), F.min("lo").alias("lo"))
+    )
+    fuzzy = links.join(per_set, "mid").groupBy("mkey").agg(*facts)
+    found = exact.withColumn("how", F.lit("exact")).unionByName(fuzzy.withColumn("how", F.lit("keywords")))
+    days = F.datediff("last_seen", "first_seen") / 30
+    per_month = half_up(F.col("matched_rows") / F.greatest(days, F.lit(1.0)), 1)
+    return picked.join(found, ["how", "mkey"]).select(
+        *NAME, "how", "matched_rows", "first_seen", "last_seen", "historical_min",
+        F.when(F.col("matched_rows") >= 2, per_month).alias("per_month"),
+    )
+
+
 def prefix_stats(
     current: DataFrame, history: DataFrame, prefix: int = 30, min_rows: int = 2
 ) -> DataFrame:

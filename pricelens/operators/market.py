@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricelens.functions.text import is_blank
 from pricelens.plans.blocking import substring_links
 from pricelens.plans.ranking import positions, rank_probes
+from pricelens.session import cut_lineage
 
 
 def cross_store_rank(df: DataFrame, name: str = "norm_name") -> DataFrame:
@@ -130,13 +131,13 @@ def cross_store_context(df: DataFrame, prefix: int = 30) -> DataFrame:
         df.where(~is_blank(F.col("norm_name"))).select("norm_name", "price").distinct(), "norm_name",
     )
     named = df.join(by_name, ["norm_name", "price"], "left")
-    rest = (
+    rest = cut_lineage(
         named.where("n_stores is null").select("item", "price").distinct()
         .withColumn("pat", F.lower(F.substring("item", 1, prefix)))
     )
     by_item = df.groupBy(F.lower("item").alias("mid"), "store").agg(F.min("price").alias("price"))
     links = substring_links(rest, "pat", by_item, "mid")
-    minima = links.join(by_item, "mid").groupBy("pat", "store").agg(F.min("price").alias("price"))
+    minima = cut_lineage(links.join(by_item, "mid").groupBy("pat", "store").agg(F.min("price").alias("price")))
     context = _store_context(minima, rest.select("pat", "price").distinct(), "pat")
     by_prefix = rest.join(context, ["pat", "price"]).drop("pat")
     by_prefix = by_prefix.withColumnsRenamed({f: f"_p_{f}" for f in facts})

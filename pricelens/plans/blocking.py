@@ -52,8 +52,9 @@ def substring_links(
     text_grams = t.select("_t", F.explode(F.concat(*[_grams(F.col("_t"), n) for n in sizes])).alias("_g"))
     text_grams = text_grams.join(pattern_grams.select("_g").distinct(), "_g", "left_semi")
     freq = text_grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
-    # a gram no text has rules its pattern out: it is absent from freq
-    chosen = (
+    # a gram no text has rules its pattern out: it is absent from freq;
+    # written once, so the frequency pass is not repeated per use
+    chosen = cut_lineage(
         pattern_grams.join(freq, "_g", "left")
         .groupBy("_p")
         .agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_g").alias("g"))).alias("c"))
@@ -70,21 +71,24 @@ def substring_links(
     )
 
 
-def keyword_hits(left: DataFrame, terms: str, texts: DataFrame, text: str) -> DataFrame:
-    """(text, hits): the distinct terms of the left side each text holds.
+def keyword_hits(left: DataFrame, terms: str, texts: DataFrame, text: str, key: str | None = None) -> DataFrame:
+    """(key, hits): the distinct terms of the left side each text holds.
 
     Terms hold no blank, so a term occurs in a text exactly when it occurs in
     one of the text's words: substring search runs on the two vocabularies
-    only.  Texts without a hit are left out.  Written once, because it feeds
+    only.  Texts without a hit are left out.  ``key`` names a unique column of
+    ``texts``; short texts may be their own key, long ones should not, because
+    the key travels with every word.  Written once, because the result feeds
     term frequencies, links and the collapse of texts with equal hits.
     """
+    key = key or text
     wanted = left.select(F.explode(terms).alias("_w"))
-    words = texts.select(F.col(text)).distinct().select(
-        text, F.explode(F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 0))).alias("_x")
-    )
+    own = F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 0))
+    rows = texts.select(key).distinct() if key == text else texts
+    words = rows.select(F.col(key).alias("_key"), F.explode(own).alias("_x"))
     vocabulary = substring_links(wanted, "_w", words.select("_x"), "_x")
     return cut_lineage(
-        words.join(vocabulary, "_x").groupBy(text).agg(F.array_sort(F.collect_set("_w")).alias("hits"))
+        words.join(vocabulary, "_x").groupBy(F.col("_key").alias(key)).agg(F.array_sort(F.collect_set("_w")).alias("hits"))
     )
 
 

@@ -31,9 +31,10 @@ def canon(names: list[str], rows: list[tuple]) -> list[tuple]:
     return sorted((tuple(r[i] for i in order) for r in rows), key=repr)
 
 
-def compare(df, con, sql: str) -> str:
+def compare(df, con, sql: str, timing: list[float]) -> str:
     """Empty text when both results agree, else a short description."""
     rows = [tuple(r) for r in df.collect()]
+    timing.append(time.time())
     rel = con.execute(sql)
     names = [d[0] for d in rel.description]
     check = rel.fetchall()
@@ -74,10 +75,11 @@ def main(argv: list[str]) -> int:
     failed = 0
     for name in argv or queries:
         start = time.time()
+        timing: list[float] = []
         try:
             if name in checks:
                 df = queries[name](spark, sf_dir)
-                problem = compare(df, con, checks[name])
+                problem = compare(df, con, checks[name], timing)
             else:
                 n = len(queries[name](spark, sf_dir).collect())
                 problem = "" if n else "no rows"
@@ -85,7 +87,7 @@ def main(argv: list[str]) -> int:
         except Exception as e:  # report and go on with the next query
             problem = f"{type(e).__name__}: {str(e)[:1500]}"
         failed += bool(problem)
-        print(f"{'FAIL' if problem else 'ok  '} {time.time() - start:6.1f}s {name} {problem}", flush=True)
+        print(f"{'FAIL' if problem else 'ok  '} {(timing or [time.time()])[0] - start:6.1f}s spark {time.time() - start:6.1f}s all {name} {problem}", flush=True)
     print(f"{failed} failed")
     return 1 if failed else 0
 
