@@ -21,6 +21,7 @@ from pricelens.operators import report as R
 from pricelens.operators import summary as S
 from pricelens.plans import weekly as W
 from pricelens.plans.joins import null_safe_join
+from pricelens.session import cut_lineage
 
 KEY = ["order_no", "line_no", "part_no", "supp_no"]
 TIES = ", ".join(TIE)
@@ -204,7 +205,7 @@ def best_store_per_name(spark, sf):
     return M.best_store(observations(spark, sf), "norm_name")
 
 
-_SKIP8 = _kws(vocab.DETAIL_SKIP_WORDS)
+_SKIP8 = _kws(vocab.DETAIL_SKIP_WORDS).replace("lower(item)", "lower(a.item)").replace("lower(norm_name)", "lower(a.norm_name)")
 _DETAIL = f"""{CURHIST}, names AS (SELECT DISTINCT item, norm_name FROM cur),
     ht AS (SELECT {_TXT} AS txt, norm_name, count(*) AS n, min(obs_date) AS d1, max(obs_date) AS d2, min(price) AS lo FROM hist GROUP BY ALL),
     e AS (SELECT norm_name, sum(n) AS n, min(d1) AS d1, max(d2) AS d2, min(lo) AS lo FROM ht WHERE trim(norm_name) <> '' GROUP BY 1),
@@ -270,7 +271,8 @@ _CONTEXT = f"""cx AS (SELECT *, {COUNTER} AS per_100g_corrected FROM obs WHERE s
 
 def _context(spark, sf):
     current, history = current_and_history(spark, sf)
-    fixed, archive = W.with_counter_fix(current), W.clean_archive(history)
+    # the corrected tables are read by several parts of the report: write them once
+    fixed, archive = cut_lineage(W.with_counter_fix(current)), cut_lineage(W.clean_archive(history))
     facts = H.deal_context(fixed, archive, F.lit(LAST_DAY))
     text = SC.deal_context_text(
         F.coalesce("per_100g_corrected", F.lit(False)), F.col("unit_price"), F.col("is_lowest"), F.col("months_since_low"),
