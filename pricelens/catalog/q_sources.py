@@ -22,32 +22,31 @@ KEY = ["order_no", "line_no", "part_no", "supp_no"]
 
 
 def _feed_documents(spark, sf):
-    """One landed JSON document per observation, two items each, in drifting shapes."""
+    """One landed feed per observation, two items each, in drifting shapes."""
     obs = observations(spark, sf)
-    own = F.struct(
-        F.concat(F.lit(" "), "item", F.lit(" ")).alias("name"),
-        F.when(F.col("line_no") % 2 == 0, F.col("price_text")).alias("price"),
-        F.when(F.col("line_no") % 2 == 1, F.col("price_text")).alias("sale_price"),
-        F.lit("0").alias("current_price"),
-        F.when(F.col("line_no") == 3, F.lit("1999-01-31")).alias("valid_to"),
+    none = F.lit(None).cast("string")
+    even = F.col("line_no") % 2 == 0
+
+    def item(name, price, current, sale, until):
+        values = {
+            "name": name, "price": price, "current_price": current, "price_text": none, "sale_price": sale,
+            "original_price": none, "valid_to": until, "image_url": none,
+        }
+        return F.struct(*[v.alias(k) for k, v in values.items()])
+
+    own = item(
+        F.concat(F.lit(" "), "item", F.lit(" ")), F.when(even, F.col("price_text")), F.lit("0"),
+        F.when(~even, F.col("price_text")), F.when(F.col("line_no") == 3, F.lit("1999-01-31")),
     )
-    blank = F.struct(
-        F.lit("  ").alias("name"), F.lit("$1.00").alias("price"), F.lit(None).cast("string").alias("sale_price"),
-        F.lit(None).cast("string").alias("current_price"), F.lit(None).cast("string").alias("valid_to"),
-    )
-    items, none = F.array(own, blank), F.array().cast("array<struct<name:string>>")
-    k = F.col("line_no") % 4
+    blank = item(F.lit("  "), F.lit("$1.00"), none, none, none)
+    items, k = F.array(own, blank), F.col("line_no") % 4
     return obs.select(
-        F.to_json(
-            F.struct(
-                F.col("order_no").alias("id"), F.col("store").alias("merchant"), F.lit("Weekly").alias("name"),
-                F.date_format("obs_date", "yyyy-MM-dd'T'00:00:00").alias("valid_from"),
-                F.date_format(F.date_add("obs_date", 7), "yyyy-MM-dd").alias("valid_to"),
-                F.when(k == 0, items).alias("items"),
-                F.when(k == 1, items).alias("spread_items"),
-                F.when(k >= 2, items).alias("products"),
-            )
-        ).alias("doc"),
+        F.col("order_no").alias("id"), F.col("store").alias("merchant"), F.lit("Weekly").alias("name"),
+        F.date_format("obs_date", "yyyy-MM-dd'T'00:00:00").alias("valid_from"),
+        F.date_format(F.date_add("obs_date", 7), "yyyy-MM-dd").alias("valid_to"),
+        F.when(k == 0, items).alias("items"),
+        F.when(k == 1, items).otherwise(F.array().cast(FEED["items"].dataType)).alias("spread_items"),
+        F.when(k >= 2, items).alias("products"),
     )
 
 
@@ -58,8 +57,7 @@ def _feed_documents(spark, sf):
         FROM obs GROUP BY ALL"""),
 )
 def feed_flatten(spark, sf):
-    docs = _feed_documents(spark, sf).select(F.from_json("doc", FEED).alias("d")).select("d.*")
-    rows = FE.offers(docs)
+    rows = FE.offers(_feed_documents(spark, sf))
     return rows.groupBy(
         "feed_id", "store", "item", "price_text", "price", "price_basis",
         F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_until").cast("string").alias("valid_until"),
@@ -75,7 +73,7 @@ def feed_json_files(spark, sf):
     from pricelens.functions.numbers import exact_sum
 
     path = new_path(spark, "feeds")
-    _feed_documents(spark, sf).select(F.col("doc").alias("value")).write.text(path)
+    _feed_documents(spark, sf).write.json(path)
     return FE.offers(FE.read_feeds(spark, path)).groupBy("store").agg(
         F.count(F.lit(1)).alias("n"), half_up(exact_sum(F.col("price")), 2).alias("total")
     )

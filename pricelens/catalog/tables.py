@@ -8,10 +8,11 @@ the same in both engines, so the query and its check start from equal rows.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.session import configure
+from pricelens.session import configure, new_path
 
 AS_OF = "2001-11-04"
 
@@ -143,12 +144,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All observations.  Joins are left to the optimizer: it broadcasts a
     side only below the session's size threshold."""
     lines, parts, suppliers, nations = (
         table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier", "nation")
     )
+    cores = spark.sparkContext.defaultParallelism
+    if lines.rdd.getNumPartitions() < 2 * cores:  # a small input in few files: use all cores
+        lines = lines.repartition(2 * cores)
     return (
         lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -157,6 +161,29 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_landed: dict[tuple[str, str], str] = {}
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observation table, landed once per session.
+
+    The operators expect a table with real columns.  Landing the spelled-out
+    view gives them one: filters and column lists reach the scan, and the long
+    text expressions are not copied into every rule that refers to a column.
+    """
+    configure(spark)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _landed:
+        try:
+            return spark.read.parquet(_landed[key])
+        except AnalysisException:  # the folder was cleared meanwhile
+            del _landed[key]
+    path = new_path(spark, "observations")
+    derive_observations(spark, sf_dir).write.parquet(path)
+    _landed[key] = path
+    return spark.read.parquet(path)
+
+
 def current_and_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Open lines are the current offers, finished lines the archive."""
     obs = observations(spark, sf_dir)

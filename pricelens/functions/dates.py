@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "MMM d, yyyy"]
-TIME_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]"]
+# shape of a date text and the pattern that reads it; ISO forms need none
+OTHER_FORMATS = [
+    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
+    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
+    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+]
 
 
 def lenient_date(value: Column) -> Column:
-    """Date of an ISO date, timestamp or common date text; null if unreadable."""
+    """Date of an ISO date, timestamp or common date text; null if unreadable.
+
+    Formats are tried by shape, as a failed parse costs far more than a test.
+    """
     text = F.trim(value)
-    tries = [F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in DATE_FORMATS + TIME_FORMATS]
-    return F.coalesce(*tries, F.to_date(F.try_to_timestamp(text)))
+    other = [
+        F.when(text.rlike(shape), F.to_date(F.try_to_timestamp(text, F.lit(pattern)))) for shape, pattern in OTHER_FORMATS
+    ]
+    return F.coalesce(text.try_cast("date"), *other)
 
 
 def blank_to_null(value: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.plans.joins import null_safe_join
+from pricelens.session import cut_lineage
 
 # copies of one row are numbered in chunks of this size
 CHUNK = 100_000
@@ -85,38 +86,35 @@ def positions(df: DataFrame, keys: Sequence[str], levels: Sequence[tuple[str, Co
     keys, cols = list(keys), df.columns
     names = [f"_l{i}" for i in range(len(levels))]
     rest = [c for c in cols if c not in keys]
-    leaf = (
+    # both counted tables are read several times below: write them once
+    leaf = cut_lineage(
         df.groupBy(*cols)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumns({n: expr for n, (_, expr) in zip(names, levels)})
-        .withColumn("_leaf", F.struct(*rest))
     )
-    steps = [*names, "_leaf"]
+    units = cut_lineage(leaf.groupBy(*keys, *names).agg(F.sum("_n").alias("_n")))
     offset = None
-    for depth in range(1, len(steps) + 1):
-        prefix = keys + steps[: depth - 1]
-        level = steps[depth - 1]
-        if depth == len(steps):
-            counted = leaf
-        else:
-            counted = leaf.groupBy(*prefix, level).agg(F.sum("_n").alias("_n"))
+    for depth in range(1, len(names) + 1):
+        prefix, level = keys + names[: depth - 1], names[depth - 1]
+        counted = units if depth == len(names) else units.groupBy(*prefix, level).agg(F.sum("_n").alias("_n"))
         start = F.sum("_n").over(Window.partitionBy(*prefix).orderBy(level)) - F.col("_n")
         if offset is None:
-            counted = counted.withColumn("_start", start)
+            counted = counted.withColumn("_base", start)
         else:
-            counted = null_safe_join(
-                counted, offset.withColumnRenamed("_start", "_base").drop("_n"), prefix
-            ).withColumn("_start", F.col("_base") + start).drop("_base")
-        offset = counted
-    chunked = offset.withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / CHUNK)))
-    )
-    # spread the chunks of one often-copied row over tasks before numbering it
-    many = chunked.withColumn(
-        "_in", F.least(F.lit(CHUNK), F.col("_n") - F.col("_chunk") * CHUNK).cast("int")
+            counted = null_safe_join(counted.withColumn("_own", start), offset, prefix).withColumn(
+                "_base", F.col("_base") + F.col("_own")
+            )
+        offset = counted.select(*prefix, level, "_base")
+    inside = Window.partitionBy(*keys, *names).orderBy(*rest)
+    placed = null_safe_join(leaf, offset, keys + names).withColumn(
+        "_from", F.col("_base") + F.sum("_n").over(inside) - F.col("_n")
     )
-    return many.select(
-        *cols, (F.col("_start") + F.col("_chunk") * CHUNK).alias("_from"), F.explode(F.sequence(F.lit(1), F.col("_in"))).alias("_k")
+    # the copies of one row are numbered in chunks, so no array grows with the data
+    chunked = placed.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / CHUNK))))
+    size = F.least(F.lit(CHUNK), F.col("_n") - F.col("_chunk") * CHUNK).cast("int")
+    return chunked.select(
+        *cols, (F.col("_from") + F.col("_chunk") * CHUNK).alias("_from"),
+        F.explode(F.sequence(F.lit(1), size)).alias("_k"),
     ).select(*cols, (F.col("_from") + F.col("_k")).cast("bigint").alias(out))
 
 
