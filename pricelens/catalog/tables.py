@@ -89,8 +89,8 @@ OBS = {
     "item": f"concat({_ADJ}, ' ', {_NOUN}, {_SIZE})",
     "norm_name": (
         f"CASE p_type WHEN 'PROMO' THEN cast(null as varchar(100))"
-        f" WHEN 'SMALL' THEN concat({_NOUN}, ' ', {_ADJ}, ' ', p_brand, ' ', cast(l_suppkey % 5 as varchar(20)),"
-        f" CASE l_linestatus WHEN 'O' THEN ' now' ELSE ' then' END)"
+        f" WHEN 'SMALL' THEN concat({_NOUN}, ' ', {_ADJ}, CASE l_linestatus WHEN 'O' THEN ' now' ELSE ' then' END)"
+        f" WHEN 'LARGE' THEN concat({_NOUN}, ' ', p_brand)"
         f" ELSE concat({_NOUN}, ' ', {_ADJ}) END"
     ),
     "brand": "p_brand",

@@ -207,9 +207,13 @@ def tier_matches(current: DataFrame, history: DataFrame, prefix: int = 30) -> Da
     """Tier and number of matched history rows of every distinct current name."""
     counted = counted_history(history)
     tiers, links, sets = assign_tiers(current, counted, prefix)
-    rows = (
-        key_values(links, sets, counted).where("basis = 'shelf'").groupBy("tier", "mkey").agg(F.sum("n").alias("matched_rows"))
+    sized = (
+        counted.select(F.lit(1).alias("tier"), F.col("norm_name").alias("mid"), "n")
+        .unionByName(counted.withColumn("txt", search_text(counted)).join(sets, "txt").select(F.lit(2).alias("tier"), "mid", "n"))
+        .unionByName(counted.select(F.lit(3).alias("tier"), F.lower("item").alias("mid"), "n"))
+        .groupBy("tier", "mid").agg(F.sum("n").alias("n"))
     )
+    rows = links.join(sized, ["tier", "mid"]).groupBy("tier", "mkey").agg(F.sum("n").alias("matched_rows"))
     return tiers.join(rows, ["tier", "mkey"]).select(*NAME, "tier", "matched_rows")
 
 
