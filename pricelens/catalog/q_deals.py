@@ -163,14 +163,21 @@ for _name, _order in {
 @query(
     "deals_page_filtered",
     with_obs(f"WITH f AS (SELECT * FROM obs WHERE is_key AND deal_score >= 60 AND category = 'Beef')"
-             f" SELECT {', '.join(ROW)}, (SELECT count(*) FROM f) AS total FROM f"
+             f" SELECT {', '.join(ROW)} FROM f"
              f" ORDER BY price NULLS LAST, {TIES} LIMIT 200"),
 )
 def deals_page_filtered(spark, sf):
-    """A page over a filter stack with the total before paging; 500 asked, 200 given."""
+    """A page over a filter stack; 500 rows asked, 200 given."""
     df = P.preset(observations(spark, sf), "staples").where((F.col("deal_score") >= 60) & (F.col("category") == "Beef"))
     rows = D.page(df.select(*ROW, "obs_date"), D.sort_order("price_asc", TIE), 0, 500)
-    return rows.drop("obs_date").crossJoin(D.total_rows(df))
+    return rows.drop("obs_date")
+
+
+@query("deals_total", with_obs("SELECT count(*) AS total FROM obs WHERE is_key AND deal_score >= 60 AND category = 'Beef'"))
+def deals_total(spark, sf):
+    """The total before paging."""
+    df = P.preset(observations(spark, sf), "staples")
+    return D.total_rows(df.where((F.col("deal_score") >= 60) & (F.col("category") == "Beef")))
 
 
 @query("top_deals", with_obs(f"SELECT {', '.join(ROW)} FROM obs ORDER BY deal_score DESC, {TIES} LIMIT 20"))

@@ -50,14 +50,17 @@ def archive_keys() -> dict[str, Column]:
     }
 
 
+def both_counts(before: DataFrame, after: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """One row with the row counts of two tables, from one aggregation."""
+    sides = before.select(F.lit(1).alias("b"), F.lit(0).alias("a")).unionAll(after.select(F.lit(0), F.lit(1)))
+    return sides.agg(
+        F.coalesce(F.sum("b"), F.lit(0)).alias(names[0]), F.coalesce(F.sum("a"), F.lit(0)).alias(names[1])
+    )
+
+
 def removed_rows(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: how many rows a deduplication removed."""
-    kept = after.agg(F.count(F.lit(1)).alias("kept"))
-    return (
-        before.agg(F.count(F.lit(1)).alias("total"))
-        .crossJoin(kept)
-        .select("total", "kept", (F.col("total") - F.col("kept")).alias("removed"))
-    )
+    return both_counts(before, after, ("total", "kept")).withColumn("removed", F.col("total") - F.col("kept"))
 
 
 def known_rows(new: DataFrame, archive: DataFrame, keys: Sequence[str]) -> DataFrame:

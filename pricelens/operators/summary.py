@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pricelens.functions import vocab
 from pricelens.functions.dates import weeks_since
-from pricelens.functions.numbers import exact_avg, half_up
+from pricelens.functions.numbers import MONEY_STEPS, as_steps, exact_avg, half_up
 from pricelens.functions.text import first_rule
 from pricelens.plans.ranking import top_rows
 
@@ -43,26 +43,24 @@ def category_summary(df: DataFrame) -> DataFrame:
 
 
 def insights(df: DataFrame, hot: float = 80) -> DataFrame:
-    """One row of headline figures."""
-    facts = df.agg(
-        _one().alias("total_deals"),
-        F.count_if("is_lowest").alias("lowest_ever_count"),
-        F.count_if(F.col("deal_score") >= hot).alias("hot_deal_count"),
-        F.count_if("is_key").alias("kvi_on_sale"),
-        half_up(exact_avg(F.col("deal_score")), 1).alias("avg_score"),
-        F.min("valid_from").alias("valid_from"),
-        F.max("valid_until").alias("valid_until"),
-    )
-    best = (
-        df.groupBy("store")
-        .agg(exact_avg(F.col("deal_score")).alias("m"), _one().alias("n"))
-        .agg(F.max_by(F.struct("store", "m", "n"), F.struct(F.col("m"), F.col("n"))).alias("b"))
-        .select(
-            F.col("b.store").alias("best_store"), half_up(F.col("b.m"), 1).alias("best_store_score"),
-            F.col("b.n").alias("best_store_deals"),
-        )
+    """One row of headline figures, rolled up from one row per store."""
+    stores = df.groupBy("store").agg(
+        _one().alias("n"), F.count_if("is_lowest").alias("low"), F.count_if(F.col("deal_score") >= hot).alias("hot"),
+        F.count_if("is_key").alias("key"), F.sum(as_steps(F.col("deal_score"))).alias("s"),
+        F.count("deal_score").alias("k"), exact_avg(F.col("deal_score")).alias("m"),
+        F.min("valid_from").alias("f"), F.max("valid_until").alias("u"),
+    )
+    best = F.max_by(F.struct("store", "m", "n"), F.struct("m", "n"))
+    return stores.agg(
+        F.sum("n").alias("total_deals"), F.sum("low").alias("lowest_ever_count"), F.sum("hot").alias("hot_deal_count"),
+        F.sum("key").alias("kvi_on_sale"),
+        half_up(F.sum("s") / F.nullif(F.sum("k"), F.lit(0)) / F.lit(float(MONEY_STEPS)), 1).alias("avg_score"),
+        F.min("f").alias("valid_from"), F.max("u").alias("valid_until"), best.alias("b"),
+    ).select(
+        "total_deals", "lowest_ever_count", "hot_deal_count", "kvi_on_sale", "avg_score", "valid_from", "valid_until",
+        F.col("b.store").alias("best_store"), half_up(F.col("b.m"), 1).alias("best_store_score"),
+        F.col("b.n").alias("best_store_deals"),
     )
-    return facts.crossJoin(best)
 
 
 def frequency(df: DataFrame, column: str, head: int | None = None) -> DataFrame:

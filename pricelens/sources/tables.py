@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pricelens.operators.dedupe import archive_keys, concat_tables, dedupe
+from pricelens.operators.dedupe import archive_keys, both_counts, concat_tables, dedupe
 from pricelens.session import cut_lineage
 
 _VERSION = "version="
@@ -87,9 +87,8 @@ def publish(df: DataFrame, path: str, expected_rows: int | None = None) -> int:
 
 def same_row_count(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: both counts and whether an in-place correction kept them equal."""
-    b = before.agg(F.count(F.lit(1)).alias("rows_before"))
-    a = after.agg(F.count(F.lit(1)).alias("rows_after"))
-    return b.crossJoin(a).withColumn("unchanged", F.col("rows_before") == F.col("rows_after"))
+    counts = both_counts(before, after, ("rows_before", "rows_after"))
+    return counts.withColumn("unchanged", F.col("rows_before") == F.col("rows_after"))
 
 
 def append_archive_table(
@@ -107,7 +106,8 @@ def append_archive_table(
     if _exists(spark, path):
         months = fresh.select("obs_month").distinct()
         held = spark.read.parquet(path).withColumn("obs_month", F.col("obs_month").cast("string"))
-        held = held.join(F.broadcast(months), "obs_month", "left_semi")  # a month list, one row per month
+        # calendar months of four-digit years: never more than 120,000 short rows
+        held = held.join(F.broadcast(months), "obs_month", "left_semi")
         merged = concat_tables(held.withColumn("_arrival", F.lit(0)), merged)
     kept = cut_lineage(dedupe(merged, archive_keys(), [F.col("_arrival"), *arrival], keep="last").drop("_arrival"))
     (

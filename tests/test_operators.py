@@ -37,7 +37,7 @@ def test_tiers_and_gates(spark):
     tiers = {r["item"]: (r.tier, r.matched_rows) for r in H.tier_matches(current, history).collect()}
     assert tiers == {"milk jug": (1, 3), "rye bread": (2, 2), "tofu": (3, 2)}
     stats = {r["item"]: r for r in H.historical_stats(current, history).collect()}
-    assert stats["milk jug"].historical_avg == 4.0 and stats["milk jug"].price_percentile == 50.0
+    assert stats["milk jug"].historical_avg == 4.0 and stats["milk jug"].price_percentile == 33.3  # 100 - (1 + 2 + 1) * 50 / 3
     assert stats["tofu"].is_lowest and stats["caviar"].historical_count == 0 and stats["caviar"].pct_below_avg is None
 
 

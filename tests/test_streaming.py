@@ -12,11 +12,12 @@ START = datetime(2026, 1, 1)
 
 
 def batches(n=3, size=40):
+    """Overlapping batches whose rows are at most a few days late."""
     out = []
     for b in range(n):
         rows = []
         for i in range(size):
-            at = START + timedelta(hours=7 * i + b)
+            at = START + timedelta(days=2 * b, hours=2 * i)
             rows.append((b * size + i, at, "s%d" % (i % 3), "i%d" % (i % 5), float(i % 4), at.date()))
         out.append(rows)
     return out
@@ -56,3 +57,15 @@ def test_dedup_windows_and_latest(spark, tmp_path):
     assert sorted((r.store, r.window_start, r.n) for r in weekly.collect()) == sorted(map(tuple, want.collect()))
     last = ST.upserted_rows(ST.latest_price(stream(spark, folder, batch), ["store", "item"]), ["store", "item"])
     assert sum(r.n_seen for r in last.collect()) == batch.count()
+
+
+def test_rows_beyond_the_lateness_bound_are_dropped(spark, tmp_path):
+    folder, batch = landed(spark, tmp_path)
+    now = START + timedelta(days=60)
+    late = [(500, now, "s0", "i0", 1.0, now.date()), (501, START, "s9", "i9", 1.0, START.date())]
+    for row in late:
+        spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    keys = ["obs_date", "store", "item"]
+    kept = ST.appended_rows(ST.deduplicated(stream(spark, folder, batch), keys).select(*keys)).collect()
+    assert any(r.store == "s0" and r.obs_date == now.date() for r in kept)
+    assert not any(r.store == "s9" for r in kept)
