@@ -43,8 +43,9 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(work_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
+    """A fresh path in the application's part of the shared folder, which can
+    be dropped as a whole when the application has ended."""
+    return os.path.join(work_dir(spark), spark.sparkContext.applicationId, f"{purpose}-{uuid.uuid4().hex}")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
