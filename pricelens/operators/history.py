@@ -58,8 +58,8 @@ def assign_tiers(
 
     Tier 1: same normalised name, at least 3 history rows.  Tier 2: keyword
     overlap, at least 2 rows.  Tier 3: item prefix inside the history item.
-    The first tier that passes wins.  Returns (item, norm_name, tier, mkey),
-    the links (tier, mkey, mid) and, for tier 2, the hit set ``mid`` of each
+    The first tier that passes wins.  Returns (item, norm_name, tier, kid),
+    the links (tier, kid, mid) and, for tier 2, the hit set ``mid`` of each
     history text.  In the other tiers ``mid`` is the normalised name or the
     item text.  Names share match keys, so statistics are computed once per key
     and not once per current row.
@@ -90,12 +90,17 @@ def assign_tiers(
         *NAME, F.lit(3).alias("tier"), "mkey"
     )
     matched = cut_lineage(one.unionByName(two).unionByName(three))
+    # a long id per match key keeps the later shuffles narrow; written once, so it is fixed
+    ids = cut_lineage(
+        matched.select("tier", "mkey").distinct().withColumn("kid", F.monotonically_increasing_id())
+    )
     links_all = (
         matched.where("tier = 1").select("tier", "mkey", F.col("mkey").alias("mid")).distinct()
         .unionByName(two_links.join(enough, "mkey", "left_semi").select(F.lit(2).alias("tier"), "mkey", "mid"))
         .unionByName(three_links.select(F.lit(3).alias("tier"), "mkey", "mid"))
     )
-    return matched, links_all, sets
+    named = matched.join(ids, ["tier", "mkey"]).select(*NAME, "tier", "kid")
+    return named, links_all.join(ids, ["tier", "mkey"]).select("tier", "kid", "mid"), sets
 
 
 def _by_basis(counted: DataFrame) -> DataFrame:
@@ -110,30 +115,30 @@ def _by_basis(counted: DataFrame) -> DataFrame:
 
 
 def key_values(links: DataFrame, sets: DataFrame, counted: DataFrame) -> DataFrame:
-    """Counted values per match key: (tier, mkey, basis, value, n), written once."""
+    """Counted values per match key: (kid, basis, value, n), written once."""
     values = _by_basis(counted)
 
     def side(tier: int, named: DataFrame) -> DataFrame:
         rows = named.groupBy("mid", "basis", "value").agg(F.sum("n").alias("n"))
-        return links.where(F.col("tier") == tier).join(rows, "mid").select("tier", "mkey", "basis", "value", "n")
+        return links.where(F.col("tier") == tier).join(rows, "mid").select("kid", "basis", "value", "n")
 
     sides = (
         side(1, values.withColumn("mid", F.col("norm_name")))
         .unionByName(side(2, values.withColumn("txt", search_text(values)).join(sets, "txt")))
         .unionByName(side(3, values.withColumn("mid", F.lower("item"))))
     )
-    return cut_lineage(sides.groupBy("tier", "mkey", "basis", "value").agg(F.sum("n").alias("n")))
+    return cut_lineage(sides.groupBy("kid", "basis", "value").agg(F.sum("n").alias("n")))
 
 
 def probe_stats(probes: DataFrame, values: DataFrame, method: str = "rank") -> DataFrame:
     """Like-for-like statistics of each probe against its match key's values.
 
-    ``probes`` are distinct (tier, mkey, price, unit_price, unit_type).  Unit
+    ``probes`` are distinct (kid, price, unit_price, unit_type).  Unit
     prices are compared when the probe has one and at least two matches share
     its unit type, shelf prices otherwise.  Fewer than two positive prices
     give null statistics.
     """
-    group = ["tier", "mkey", "basis"]
+    group = ["kid", "basis"]
     facts = values.groupBy(*group).agg(
         F.sum("n").alias("all_rows"),
         F.min(F.when(F.col("value") > 0, F.col("value"))).alias("low"),
@@ -142,10 +147,10 @@ def probe_stats(probes: DataFrame, values: DataFrame, method: str = "rank") -> D
         F.coalesce(F.sum(F.when(F.col("value") > 0, F.col("n"))), F.lit(0)).alias("cnt"),
     )
     gate = facts.where("basis <> 'shelf' and all_rows >= 2").select(
-        "tier", "mkey", F.col("basis").alias("unit_type"), F.lit(True).alias("_like")
+        "kid", F.col("basis").alias("unit_type"), F.lit(True).alias("_like")
     )
     based = (
-        probes.join(gate, ["tier", "mkey", "unit_type"], "left")
+        probes.join(gate, ["kid", "unit_type"], "left")
         .withColumn(
             "basis",
             F.when(F.col("_like") & F.col("unit_price").isNotNull(), F.col("unit_type")).otherwise(F.lit("shelf")),
@@ -192,9 +197,9 @@ def historical_stats(
     tiers, links, sets = assign_tiers(current, counted, prefix)
     probe = [*NAME, "price", "unit_price", "unit_type"]
     probes = cut_lineage(null_safe_join(current.select(*probe).distinct(), tiers, NAME))
-    keyed = ["tier", "mkey", "price", "unit_price", "unit_type"]
+    keyed = ["kid", "price", "unit_price", "unit_type"]
     stats = probe_stats(probes.select(*keyed).distinct(), key_values(links, sets, counted), method)
-    found = null_safe_join(probes, stats, keyed).drop("tier", "mkey")
+    found = null_safe_join(probes, stats, keyed).drop("tier", "kid")
     return null_safe_join(current, found, probe, "left").withColumns(
         {
             "historical_count": F.coalesce("historical_count", F.lit(0)),
@@ -213,8 +218,8 @@ def tier_matches(current: DataFrame, history: DataFrame, prefix: int = 30) -> Da
         .unionByName(counted.select(F.lit(3).alias("tier"), F.lower("item").alias("mid"), "n"))
         .groupBy("tier", "mid").agg(F.sum("n").alias("n"))
     )
-    rows = links.join(sized, ["tier", "mid"]).groupBy("tier", "mkey").agg(F.sum("n").alias("matched_rows"))
-    return tiers.join(rows, ["tier", "mkey"]).select(*NAME, "tier", "matched_rows")
+    rows = links.join(sized, ["tier", "mid"]).groupBy("kid").agg(F.sum("n").alias("matched_rows"))
+    return tiers.join(rows, "kid").select(*NAME, "tier", "matched_rows")
 
 
 def detail_matches(current: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
