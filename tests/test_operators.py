@@ -141,3 +141,22 @@ def test_missing_table_is_empty_and_fallback_used(spark, tmp_path):
     assert TB.read_observations(spark, gone, OBSERVATION).count() == 0
     spark.createDataFrame([(DAY,)], "obs_date date").write.parquet(str(tmp_path / "second"))
     assert TB.first_available(spark, [gone, str(tmp_path / "second")], OBSERVATION).count() == 1
+
+
+def test_line_and_json_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(2, "second"), (1, "first")], "n int, text string")
+    TB.write_lines(df, str(tmp_path / "lines"), ["n"])
+    assert [r.value for r in spark.read.text(str(tmp_path / "lines")).collect()] == ["first", "second"]
+    TB.write_json(df, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+
+
+def test_backfill_and_merge_do_not_fan_out(spark):
+    from pricelens.operators import enrich as E
+
+    rows_ = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "item string, n int")
+    out = E.backfill(rows_, ["item"], lambda d: d.withColumn("size", F.coalesce(F.length("item"), F.lit(0))))
+    assert sorted((r.n, r.size) for r in out.collect()) == [(1, 1), (2, 1), (3, 0)]
+    results = spark.createDataFrame([("a", 7), ("a", 7)], "item string, score int")
+    merged = E.merge_results(rows_, results, "item", {"score": 50})
+    assert sorted((r.n, r.score) for r in merged.collect()) == [(1, 7), (2, 7), (3, 50)]
