@@ -18,6 +18,10 @@ _SETTINGS = {
 }
 
 
+# work folders of local sessions that name none
+_local_dirs: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings; everything else is left to the caller."""
     for key, value in _SETTINGS.items():
@@ -37,9 +41,10 @@ def work_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="pricelens-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="pricelens-")
+    return _local_dirs[app]
 
 
 def new_path(spark: SparkSession, purpose: str) -> str:
