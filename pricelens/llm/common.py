@@ -41,3 +41,15 @@ def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     for n in names:
         condition = condition & left[n].eqNullSafe(right[n])
     return condition
+
+
+def row_key(id_value: Column, text: Column) -> Column:
+    """One hash of a row's id and text; rows alike in both share it."""
+    return F.xxhash64(id_value, id_value.isNull(), F.coalesce(text, F.lit("")), text.isNull())
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer file; executors have the same installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import checks, license_scan, quality_rules, shards
-from pricelens.llm.common import table
+from pricelens.llm import (
+    checks, chunk_dedup, decontaminate, license_scan, near_dup, packing, quality_rules, shards, token_count,
+)
+from pricelens.llm.common import table, tokenizer_file
 from pricelens.session import configure, cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +51,34 @@ def interleaved_shards_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "source",
     )
+
+
+@query("op10_simhash_ring")
+def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id", "representative")
+
+
+@query("op5_string_tiling")
+def string_tiling_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, one row per document and item."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("row_key")
+
+
+@query("op6_chunk_dedup")
+def chunk_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages that stand in several documents, one row per place."""
+    return chunk_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("row_key")
+
+
+@query("op3_token_count")
+def token_count_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts under the public piece vocabulary and its scores."""
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")).drop("row_key")
+
+
+@query("op4_packing")
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).drop("row_key")
