@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.llm import (
-    checks, chunk_dedup, decontaminate, license_scan, near_dup, packing, quality_rules, shards, token_count,
+    checks, chunk_dedup, decontaminate, html_text, license_scan, near_dup, packing, pii, quality_rules, shards, token_count,
 )
 from pricelens.llm.common import table, tokenizer_file
 from pricelens.session import configure, cut_lineage
@@ -82,3 +82,20 @@ def token_count_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).drop("row_key")
+
+
+@query("op8_personal_data")
+def personal_data_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+    def n(kind: str):
+        return F.size(F.filter("plain", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *(n(k) for k in pii.KINDS), F.sha2("base_text", 256).alias("base_sha256"), F.col("spans_text").alias("spans"))
+
+
+@query("op9_tag_path_text")
+def tag_path_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.col("main_chars").alias("n_chars"))
