@@ -51,7 +51,7 @@ DEPTH = 512
 @dataclass
 class Element:
     tag: str
-    path: tuple[str, ...]
+    path: int  # number of the tag path
     parent: Element | None
     around: bool
     serial: int
@@ -65,14 +65,16 @@ class Node:
     text: str
 
     @property
-    def path(self) -> tuple[str, ...]:
+    def path(self) -> int:
         return self.element.path
 
 
-def text_nodes(page: str) -> list[Node]:
-    """The page's text nodes in order, each with its element and block; tags that are
-    left open are closed where HTML closes them."""
-    root = Element("", (), None, False, 0)
+def text_nodes(page: str) -> tuple[list[Node], list[int]]:
+    """The page's text nodes in order, each with its element and block, and each tag
+    path's parent path; tags that are left open are closed where HTML closes them."""
+    root = Element("", 0, None, False, 0)
+    numbers: dict[tuple[int, str], int] = {}
+    above = [0]
     stack, nodes, block, serial = [root], [], 0, 0
     last = page.rfind(">") + 1  # no tag ends behind it
     if last < len(page):
@@ -111,7 +113,10 @@ def text_nodes(page: str) -> list[Node]:
                 around = True
             serial += 1
             if not attrs.rstrip().endswith("/") and len(stack) <= DEPTH:
-                path = (*parent.path, f"{tag}.{names}" if names else tag)
+                step = (parent.path, f"{tag}.{names}" if names else tag)
+                path = numbers.setdefault(step, len(above))
+                if path == len(above):
+                    above.append(parent.path)
                 stack.append(Element(tag, path, parent, around, serial, parent.within | {tag}))
         elif m[0][0] != "<" or m[0] == "<":
             nodes.append(Node(stack[-1], block, m[0]))
@@ -120,15 +125,15 @@ def text_nodes(page: str) -> list[Node]:
         nodes.append(Node(stack[-1], block, tail.text[:cut.start()] if cut else tail.text))
     for n in nodes:
         n.text = html.unescape(n.text) if "&" in n.text else n.text
-    return nodes
+    return nodes, above
 
 
-def path_scores(nodes: list[Node]) -> dict[tuple[str, ...], float]:
+def path_scores(nodes: list[Node], above: list[int]) -> dict[int, float]:
     """Fused ratio per path: length and punctuation per node, each smoothed with the
     mean of the paths under the same parent."""
-    chars: dict[tuple[str, ...], int] = defaultdict(int)
-    marks: dict[tuple[str, ...], int] = defaultdict(int)
-    count: dict[tuple[str, ...], int] = defaultdict(int)
+    chars: dict[int, int] = defaultdict(int)
+    marks: dict[int, int] = defaultdict(int)
+    count: dict[int, int] = defaultdict(int)
     for n in nodes:
         text = n.text.strip()
         if not text or n.element.around:
@@ -136,14 +141,14 @@ def path_scores(nodes: list[Node]) -> dict[tuple[str, ...], float]:
         chars[n.path] += len(text)
         marks[n.path] += len(_PUNCTUATION.findall(text))
         count[n.path] += 1
-    family: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0])
+    family: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0])
     for p in count:
-        sums = family[p[:-1]]
+        sums = family[above[p]]
         for k, total in enumerate((count, chars, marks)):
             sums[k] += total[p]
 
-    def smooth(k: int, total: dict[tuple[str, ...], int], p: tuple[str, ...]) -> float:
-        near = family[p[:-1]]
+    def smooth(k: int, total: dict[int, int], p: int) -> float:
+        near = family[above[p]]
         return 0.75 * total[p] / count[p] + 0.25 * near[k] / near[0]
 
     return {p: smooth(1, chars, p) * (1 + smooth(2, marks, p)) for p in count}
@@ -153,8 +158,8 @@ def main_text(page: str | None, threshold: float = 0.5) -> str:
     """The article's blocks, white space inside each turned to one space, joined by
     line feeds; empty without any text.  ``threshold`` times the mean score, weighted
     by text, is what a path needs to count as content."""
-    nodes = text_nodes(page or "")
-    scores = path_scores(nodes)
+    nodes, above = text_nodes(page or "")
+    scores = path_scores(nodes, above)
     if not scores:
         return ""
     live = [n for n in nodes if n.path in scores and not n.element.around and n.text.strip()]

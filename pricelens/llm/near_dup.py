@@ -220,15 +220,18 @@ def keep_rows(
 ) -> DataFrame:
     """The rows of ``docs`` whose (id, row_key) is in ``chosen`` (or is not: ``left_anti``),
     columns unchanged; with ``once`` a repeated row is kept once.  Texts are dealt by row_key, one shuffle."""
-    had = docs.columns
-    keyed = docs.withColumn("keep_row_key", row_key(F.col(id_col), F.col(text_col)))
-    only = chosen.select(F.col(id_col).alias("keep_id"), F.col("row_key").alias("keep_key")).distinct()
-    alike = F.coalesce(keyed[id_col] == only["keep_id"], keyed[id_col].isNull() & only["keep_id"].isNull())
-    kept = keyed.join(only, (keyed["keep_row_key"] == only["keep_key"]) & alike, how)
+    keyed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("doc"),
+        row_key(F.col(id_col), F.col(text_col)).alias("row_key"),
+    )
+    only = chosen.select(F.col(id_col).alias("other"), F.col("row_key").alias("other_key")).distinct()
+    # not an equality Spark would deal by: the key alone spreads the rows
+    alike = F.coalesce(keyed["doc"] == only["other"], keyed["doc"].isNull() & only["other"].isNull())
+    kept = keyed.join(only, (keyed["row_key"] == only["other_key"]) & alike, how)
     if once:
-        copies = Window.partitionBy("keep_row_key", id_col).orderBy("keep_row_key")
-        kept = kept.withColumn("keep_nth", F.row_number().over(copies)).where("keep_nth = 1")
-    return kept.select(*had)
+        copies = Window.partitionBy("row_key", "doc").orderBy("row_key")
+        kept = kept.withColumn("nth", F.row_number().over(copies)).where("nth = 1")
+    return kept.select("row.*")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:

@@ -22,18 +22,19 @@ _SYMBOLS = r"[#*$%&|<>]"
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add q_n_words, q_word_chars, q_n_symbols, q_n_dup_lines, q_n_repeat_words,
-    q_upper and q_marks (all long) to every row.
+    """q_row (the input row as a struct, so no column name can clash), q_n_words,
+    q_word_chars, q_n_symbols, q_n_dup_lines, q_n_repeat_words, q_upper and q_marks
+    (all long), one row per input row.
 
     q_n_repeat_words counts words in three-word windows found twice or more.  The
     windows are hashed; only a text with equal hashes sorts them together with
     their places, marks the places of equal ones and adds up the words covered.
     A null text has no words: all statistics are 0.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    had = docs.columns
-    staged = docs.select(
-        "*", words(F.col(text_col), SPACED).alias("q_words"),
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("q_row"), F.col(text_col).alias("q_text"))
+    text = F.coalesce(F.col("q_text"), F.lit(""))
+    staged = rows.select(
+        "*", words(F.col("q_text"), SPACED).alias("q_words"),
         F.filter(F.split(text, "\n", -1), lambda x: F.regexp_like(x, F.lit(SPACED))).alias("q_lines"),
     ).select("*", F.size("q_words").alias("q_n"))
     hashes = F.transform(
@@ -64,7 +65,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.regexp_count(text, F.lit(r"[!?]")).cast("long").alias("q_marks"),
     )
     # generated rather than projected: a later filter would else be pushed below and evaluate everything once more
-    return staged.select(*had, F.inline_outer(F.array(statistics)))
+    return staged.select("q_row", F.inline_outer(F.array(statistics)))
 
 
 def base_failed(n_words: str = "q_n_words", repeated: str = "q_n_repeat_words") -> Column:
@@ -213,10 +214,11 @@ def fit_rules(assessed: DataFrame, labels: DataFrame, id_col: str = "doc_id", la
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Narrow statistics: id, text_key and the q_ columns, one row per input row."""
-    only = docs.select(F.col(id_col), F.col(text_col).alias("q_text"))
-    return with_statistics(only, "q_text").withColumn("text_key", text_key(F.col("q_text"))).drop("q_text")
+    only = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    stats = with_statistics(only, "text")
+    return stats.select(F.col("q_row.id").alias(id_col), text_key(F.col("q_row.text")).alias("text_key"), *(c for c in stats.columns if c != "q_row"))
 
 
 def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """Rows that pass the fixed limits and the decision list, with their columns unchanged."""
-    return with_statistics(docs, text_col).where(~base_failed() & verdict(rules)).select(*docs.columns)
+    return with_statistics(docs, text_col).where(~base_failed() & verdict(rules)).select("q_row.*")

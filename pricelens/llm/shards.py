@@ -47,14 +47,16 @@ def interleave(
     )
     # null ids are told apart by their texts
     narrow = narrow.withColumn("h", F.xxhash64(F.lit(seed), "doc", F.when(F.col("doc").isNull(), F.col("text_crc32"))))
-    narrow = cut_lineage(narrow.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int")))
+    # buckets are stretches of the hash's upper 31 bits, so the order over all of them is the hash's
+    narrow = narrow.withColumn("top", F.shiftrightunsigned("h", 33))
+    narrow = cut_lineage(narrow.withColumn("bucket", F.shiftright(F.col("top") * buckets, 31).cast("int")))
     per_bucket = narrow.groupBy("s", "s_null", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("s", "s_null").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("s", "s_null")
     starts = per_bucket.select(
         "s", "s_null", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(whole).alias("total"),
     )
-    inside = Window.partitionBy("s", "s_null", "bucket").orderBy("h", "doc", "size", "text_crc32")
+    inside = Window.partitionBy("s", "s_null", "bucket").orderBy("top", "h", "doc", "size", "text_crc32")
     ranked = narrow.withColumn("i", F.row_number().over(inside)).join(starts, ["s", "s_null", "bucket"])
     phase = F.pmod(F.xxhash64(F.lit(seed + 1), "s", "s_null"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     placed = cut_lineage(ranked.select(
