@@ -27,6 +27,7 @@ _TOKEN = re.compile(
     r"|[^<]+|<",
     re.S | re.I,
 )
+_ENDED = re.compile(r"</[a-z]+\s*>\Z", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？¿¡]")
 
@@ -85,14 +86,14 @@ def text_nodes(page: str) -> tuple[list[Node], list[int]]:
     for m in _TOKEN.finditer(page):
         tag = (m["tag"] or "").lower()
         if tag:
-            if tag in BLOCKS:
-                block += 1
             if m["close"]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
                         del stack[k:]
+                        block += tag in BLOCKS  # a stray end tag ends nothing
                         break
                 continue
+            block += tag in BLOCKS
             if tag == "br":
                 nodes.append(Node(stack[-1], block, " "))
             if tag in VOID:
@@ -120,6 +121,8 @@ def text_nodes(page: str) -> tuple[list[Node], list[int]]:
                 stack.append(Element(tag, path, parent, around, serial, parent.within | {tag}))
         elif m[0][0] != "<" or m[0] == "<":
             nodes.append(Node(stack[-1], block, m[0]))
+        elif not _ENDED.search(m[0]) if m["raw"] else m[0].startswith("<!--") and not m[0].endswith("-->"):
+            tail = None  # the rest belongs to what is never closed
     if tail is not None:
         cut = re.search(r"<(?:[a-zA-Z/!?]|$)", tail.text)  # a tag that never ends
         nodes.append(Node(stack[-1], block, tail.text[:cut.start()] if cut else tail.text))
