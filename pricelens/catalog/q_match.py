@@ -218,7 +218,7 @@ def incremental_enrichment(spark, sf):
 )
 def merge_results(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id")
-    return E.merge_results(docs, table(spark, sf, "labels"), "doc_id", {"quality": 50, "toxic": -1})
+    return E.merge_results(docs, table(spark, sf, "labels"), "doc_id", {"quality": 50, "toxic": -1}, [F.col("quality"), F.col("toxic")])
 
 
 @query(

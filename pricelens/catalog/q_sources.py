@@ -267,7 +267,7 @@ def stream_ingest(spark, sf):
     f"WITH {_EV} SELECT DISTINCT cast(obs_date as varchar) AS obs_date, store, item FROM ev",
 )
 def stream_dedup(spark, sf):
-    rows = ST.deduplicated(_event_stream(spark, sf), ["obs_date", "store", "item"])
+    rows = ST.deduplicated(_event_stream(spark, sf), ["obs_date", "store", "item"], None)
     kept = ST.appended_rows(rows.select("obs_date", "store", "item"))
     return kept.withColumn("obs_date", F.col("obs_date").cast("string"))
 
@@ -283,7 +283,7 @@ def _window_sql(length: int, slide: int) -> str:
 
 
 def _window_rows(spark, sf, length, slide=None):
-    stats = ST.window_stats(_event_stream(spark, sf), ["store"], length, slide)
+    stats = ST.window_stats(_event_stream(spark, sf), ["store"], length, None, slide)
     rows = ST.upserted_rows(stats, ["store", "window_start"])
     return rows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 

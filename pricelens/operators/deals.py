@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from pricelens.functions.score import tags
 from pricelens.plans.ranking import positions, top_rows
 
-MAX_PAGE = 200
-
 
 def coerced(df: DataFrame, numbers: Sequence[str], flags: Sequence[str]) -> DataFrame:
     """Typed columns of a drifting text table: bad numbers are null, missing
@@ -77,9 +75,32 @@ def sort_order(name: str, ties: Sequence[str] = ()) -> list[Column]:
     return [first, *extra, *[F.col(t).asc_nulls_last() for t in ties]]
 
 
-def page(df: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = 50) -> DataFrame:
-    """One page of a sorted list; a page has at most 200 rows."""
-    return df.orderBy(*order).offset(offset).limit(min(limit, MAX_PAGE))
+def page(df: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = 50, most: int | None = None) -> DataFrame:
+    """One page of a sorted list: the rows asked for.  A caller that wants a bound
+    names it in ``most`` and gets an error beyond it.  All rows up to the page pass
+    through one task; ``page_after`` reads deep pages without that."""
+    if most is not None and limit > most:
+        raise ValueError(f"a page of {limit} rows is more than {most}")
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def page_after(df: DataFrame, order: Sequence[tuple[str, bool]], last: Mapping[str, object] | None, limit: int = 50) -> DataFrame:
+    """The page that follows the row ``last`` (None: the first page).
+
+    ``order`` lists (column, ascending) and ends with columns that make rows
+    distinct; nulls come last.  Rows up to ``last`` are filtered in the scan, so each
+    task keeps ``limit`` rows however deep the page is.
+    """
+    by = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in order]
+    if last is not None:
+        later, equal = F.lit(False), F.lit(True)
+        for c, up in order:
+            if last[c] is not None:
+                beyond = F.col(c) > F.lit(last[c]) if up else F.col(c) < F.lit(last[c])
+                later = later | (equal & (F.coalesce(beyond, F.lit(False)) | F.col(c).isNull()))
+            equal = equal & F.col(c).eqNullSafe(F.lit(last[c]))
+        df = df.where(later)
+    return df.orderBy(*by).limit(limit)
 
 
 def total_rows(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +33,10 @@ def dedupe(
 
 
 def _reversed(order: Column) -> Column:
+    """Last in an ascending order (nulls first).  A column that carries an order of its
+    own cannot be turned round and is refused by the analyzer."""
+    if re.search(r"\b(ASC|DESC) NULLS (FIRST|LAST)", str(order)):
+        raise ValueError('keep="last" takes plain ascending columns; state the reversed order with keep="first"')
     return order.desc_nulls_last()
 
 

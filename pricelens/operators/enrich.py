@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pricelens.functions.numbers import half_up
 from pricelens.functions.rules import keyword_category
 from pricelens.functions.score import context_score, explanation, rating
-from pricelens.operators.dedupe import concat_tables, dedupe, known_rows, unknown_rows
+from pricelens.operators.dedupe import concat_tables, dedupe
 from pricelens.operators.history import prefix_stats
 from pricelens.operators.market import cross_store_context
 from pricelens.plans.joins import null_safe_join
+from pricelens.session import cut_lineage
 
 ENRICHED = ["ai_score", "ai_rating", "ai_explanation", "ai_category", "ai_sub_category", "ai_name", "ai_confidence"]
 
@@ -52,14 +53,18 @@ def enrich_new_only(
     order: Sequence[Column], enrich: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """Enrich rows the archive does not know, reuse its results for the others."""
-    fresh = enrich(unknown_rows(current, archive, keys))
-    reused = attach_known(known_rows(current, archive, keys), archive, keys, columns, order)
-    return concat_tables(fresh, reused)
+    known = dedupe(archive, keys, order, keep="last").select(*keys, *columns, F.lit(True).alias("_known"))
+    rows = cut_lineage(null_safe_join(current, known, keys, "left"))  # the archive is read once
+    fresh = enrich(rows.where(F.col("_known").isNull()).select(*current.columns))
+    return concat_tables(fresh, rows.where("_known").drop("_known"))
 
 
-def merge_results(rows: DataFrame, results: DataFrame, key: str, defaults: Mapping[str, object]) -> DataFrame:
-    """Attach external results by item and fill what is missing."""
-    one = results.dropDuplicates([key])
+def merge_results(
+    rows: DataFrame, results: DataFrame, key: str, defaults: Mapping[str, object], order: Sequence[Column]
+) -> DataFrame:
+    """Attach external results by item and fill what is missing; of several results
+    of one item the last in ``order`` counts."""
+    one = dedupe(results, [key], order, keep="last")
     return rows.join(one, key, "left").na.fill(dict(defaults))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,8 +67,8 @@ def search(df: DataFrame, term: str, columns=("item", "norm_name", "brand"), mod
     """Rows in which any of the columns has the term (literal text or regex)."""
     hit = F.lit(False)
     for c in columns:
-        text = F.lower(F.col(c))
-        found = text.rlike(term.lower()) if mode == "regex" else text.contains(term.lower())
+        # case is ignored by the flag: lower-casing a pattern would turn \\D into \\d
+        found = F.col(c).rlike(f"(?iu){term}") if mode == "regex" else F.lower(F.col(c)).contains(term.lower())
         hit = hit | F.coalesce(found, F.lit(False))
     return df.where(hit)
 
@@ -104,9 +104,26 @@ def subcategories(df: DataFrame) -> DataFrame:
     )
 
 
-def within_days(df: DataFrame, as_of: date, days: int, day: str = "obs_date") -> DataFrame:
-    """Rows observed within ``days`` before ``as_of`` (the first day included)."""
-    return df.where(F.col(day) >= F.date_sub(F.lit(as_of), days))
+def within_days(df: DataFrame, as_of: date, days: int, day: str = "obs_date", month: str = "obs_month") -> DataFrame:
+    """Rows observed within ``days`` before ``as_of`` (the first day included).  A
+    table partitioned by ``month`` (yyyy-MM) reads only the months that can hold them."""
+    first = as_of - timedelta(days=days)
+    if month in df.columns:
+        df = df.where(F.col(month) >= F.lit(f"{first:%Y-%m}"))
+    return df.where(F.col(day) >= F.lit(first))
+
+
+def dated(df: DataFrame, day: str = "obs_date") -> DataFrame:
+    """Rows whose date could be read."""
+    return df.where(F.col(day).isNotNull())
+
+
+def equal_to(df: DataFrame, **values: object) -> DataFrame:
+    """Rows that equal every given value; None leaves its column open."""
+    for column, value in values.items():
+        if value is not None:
+            df = df.where(F.col(column) == F.lit(value))
+    return df
 
 
 def expired(df: DataFrame, as_of: date) -> DataFrame:

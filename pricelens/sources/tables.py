@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pricelens.operators.dedupe import archive_keys, both_counts, concat_tables, dedupe
 from pricelens.session import cut_lineage
@@ -71,17 +71,16 @@ def publish(df: DataFrame, path: str, expected_rows: int | None = None) -> int:
     spark = df.sparkSession
     old = versions(spark, path)
     number = old[-1] + 1 if old else 1
-    staged = cut_lineage(df)
-    rows = staged.count()
+    target = f"{path}/{_VERSION}{number}"
+    # written once, without the mark that makes a version visible; the count comes from the files' footers
+    df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(target)
+    rows = spark.read.schema(df.schema).parquet(target).count()
     if rows == 0 and old and not read_published(spark, path).isEmpty():
         raise ValueError(f"refusing to replace {path} by an empty table")
     if expected_rows is not None and rows != expected_rows:
         raise ValueError(f"{path}: {rows} rows instead of {expected_rows}")
-    target = f"{path}/{_VERSION}{number}"
-    staged.write.mode("overwrite").parquet(target)
-    written = spark.read.parquet(target).count()
-    if written != rows:
-        raise ValueError(f"{target}: {written} rows written instead of {rows}")
+    fs, done = _fs(spark, f"{target}/_SUCCESS")
+    fs.create(done, True).close()
     return number
 
 
@@ -91,28 +90,42 @@ def same_row_count(before: DataFrame, after: DataFrame) -> DataFrame:
     return counts.withColumn("unchanged", F.col("rows_before") == F.col("rows_after"))
 
 
+def held_months(spark: SparkSession, path: str, months: Sequence[str]) -> DataFrame:
+    """The named months of an archive table.  Months are literals in the filter, so
+    other partitions are not listed for the scan."""
+    held = spark.read.schema(_month_schema(spark, path)).parquet(path)
+    return held.where(F.col("obs_month").isin(list(months)))
+
+
+def _month_schema(spark: SparkSession, path: str) -> StructType:
+    """The table's schema with months as text, whatever their form suggests."""
+    found = spark.read.parquet(path).schema
+    return StructType([StructField(f.name, StringType() if f.name == "obs_month" else f.dataType) for f in found])
+
+
 def append_archive_table(
-    spark: SparkSession, path: str, batch: DataFrame, arrival: Sequence[Column], day: str = "obs_date"
+    spark: SparkSession, path: str, batch: DataFrame, arrival: Sequence[Column], day: str = "obs_date",
+    file_rows: int = 2_000_000,
 ) -> None:
     """Take a batch into a month-partitioned archive table.
 
     The dedup key holds the day, so only the months of the batch are read and
     rewritten.  The merged months are staged first and then replace their
-    partitions; taking in the same batch again changes nothing.
+    partitions; taking in the same batch again changes nothing.  Partitions are
+    dealt by size (``file_rows`` rows a file at most, adaptive execution splits and joins them).
     """
     month = F.date_format(day, "yyyy-MM").alias("obs_month")
     fresh = cut_lineage(batch.select("*", month))
     merged = fresh.withColumn("_arrival", F.lit(1))
     if _exists(spark, path):
-        months = fresh.select("obs_month").distinct()
-        held = spark.read.parquet(path).withColumn("obs_month", F.col("obs_month").cast("string"))
-        # calendar months of four-digit years: never more than 120,000 short rows
-        held = held.join(F.broadcast(months), "obs_month", "left_semi")
-        merged = concat_tables(held.withColumn("_arrival", F.lit(0)), merged)
+        # calendar months of four-digit years: at most 120,000 short texts, few in practice
+        months = [r[0] for r in fresh.select("obs_month").distinct().collect()]
+        merged = concat_tables(held_months(spark, path, months).withColumn("_arrival", F.lit(0)), merged)
     kept = cut_lineage(dedupe(merged, archive_keys(), [F.col("_arrival"), *arrival], keep="last").drop("_arrival"))
     (
-        kept.repartition("obs_month", F.pmod(F.xxhash64("store", "item"), F.lit(16)))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("obs_month").parquet(path)
+        kept.hint("rebalance", "obs_month")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", file_rows)
+        .partitionBy("obs_month").parquet(path)
     )
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from pricelens.functions.numbers import exact_avg, half_up
@@ -13,24 +14,22 @@ from pricelens.operators.dedupe import dedupe
 from pricelens.session import new_path
 from pricelens.sources.tables import append_archive_table
 
-# late rows are accepted for a week, the usual validity of an offer
-LATENESS = "7 days"
-
-
-def read_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet") -> DataFrame:
-    """Parquet files of a folder as a stream, one file per micro-batch."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 1).parquet(folder)
-    )
+def read_stream(
+    spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", files_per_batch: int = 1000
+) -> DataFrame:
+    """Parquet files of a folder as a stream, at most ``files_per_batch`` a micro-batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def run_available(stream: DataFrame, mode: str, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def run_available(stream: DataFrame, mode: str, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Process what has arrived and stop; a rerun continues from the checkpoint."""
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).foreachBatch(handle).start()
     )
     query.awaitTermination()
+    return query
 
 
 def _numbered(out: str) -> Callable[[DataFrame, int], None]:
@@ -56,17 +55,31 @@ def ingest(
     return spark.read.parquet(archive)
 
 
-def deduplicated(stream: DataFrame, keys: Sequence[str], time: str = "ts") -> DataFrame:
-    """First arrival per key.  The key holds the day, so state older than the
-    lateness bound can be dropped without readmitting a key."""
-    return stream.withWatermark(time, LATENESS).dropDuplicatesWithinWatermark(list(keys))
+def _marked(stream: DataFrame, time: str, lateness: str | None) -> DataFrame:
+    return stream if lateness is None else stream.withWatermark(time, lateness)
 
 
-def window_stats(stream: DataFrame, keys: Sequence[str], length: str, slide: str | None = None, time: str = "ts") -> DataFrame:
-    """Price statistics per key and time window."""
+def deduplicated(stream: DataFrame, keys: Sequence[str], lateness: str | None, time: str = "ts") -> DataFrame:
+    """First arrival per key.  With ``lateness`` None rows of any age are taken and
+    every key is remembered.  Else rows later than that are dropped and counted by
+    ``late_rows``, and state older than it goes; the key should hold the day."""
+    if lateness is None:
+        return stream.dropDuplicates(list(keys))
+    return _marked(stream, time, lateness).dropDuplicatesWithinWatermark(list(keys))
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a finished or running query dropped as too late."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
+
+
+def window_stats(
+    stream: DataFrame, keys: Sequence[str], length: str, lateness: str | None, slide: str | None = None, time: str = "ts"
+) -> DataFrame:
+    """Price statistics per key and time window; ``lateness`` as in ``deduplicated``."""
     span = F.window(time, length, slide) if slide else F.window(time, length)
     return (
-        stream.withWatermark(time, LATENESS)
+        _marked(stream, time, lateness)
         .groupBy(*keys, span.alias("w"))
         .agg(
             F.count(F.lit(1)).alias("n"), F.min("price").alias("min_price"), F.max("price").alias("max_price"),

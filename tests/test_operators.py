@@ -158,5 +158,5 @@ def test_backfill_and_merge_do_not_fan_out(spark):
     out = E.backfill(rows_, ["item"], lambda d: d.withColumn("size", F.coalesce(F.length("item"), F.lit(0))))
     assert sorted((r.n, r.size) for r in out.collect()) == [(1, 1), (2, 1), (3, 0)]
     results = spark.createDataFrame([("a", 7), ("a", 7)], "item string, score int")
-    merged = E.merge_results(rows_, results, "item", {"score": 50})
+    merged = E.merge_results(rows_, results, "item", {"score": 50}, [F.col("score")])
     assert sorted((r.n, r.score) for r in merged.collect()) == [(1, 7), (2, 7), (3, 50)]

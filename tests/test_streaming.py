@@ -31,7 +31,7 @@ def landed(spark, tmp_path):
 
 
 def stream(spark, folder, batch):
-    return ST.read_stream(spark, folder, batch.schema)
+    return ST.read_stream(spark, folder, batch.schema, files_per_batch=1)
 
 
 def test_ingest_matches_batch_and_continues(spark, tmp_path):
@@ -50,9 +50,9 @@ def test_ingest_matches_batch_and_continues(spark, tmp_path):
 def test_dedup_windows_and_latest(spark, tmp_path):
     folder, batch = landed(spark, tmp_path)
     keys = ["obs_date", "store", "item"]
-    kept = ST.appended_rows(ST.deduplicated(stream(spark, folder, batch), keys).select(*keys))
+    kept = ST.appended_rows(ST.deduplicated(stream(spark, folder, batch), keys, "7 days").select(*keys))
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, batch.select(*keys).distinct().collect()))
-    weekly = ST.upserted_rows(ST.window_stats(stream(spark, folder, batch), ["store"], "7 days"), ["store", "window_start"])
+    weekly = ST.upserted_rows(ST.window_stats(stream(spark, folder, batch), ["store"], "7 days", "7 days"), ["store", "window_start"])
     want = batch.groupBy("store", F.window("ts", "7 days").start.alias("w")).count()
     assert sorted((r.store, r.window_start, r.n) for r in weekly.collect()) == sorted(map(tuple, want.collect()))
     last = ST.upserted_rows(ST.latest_price(stream(spark, folder, batch), ["store", "item"]), ["store", "item"])
@@ -66,6 +66,6 @@ def test_rows_beyond_the_lateness_bound_are_dropped(spark, tmp_path):
     for row in late:
         spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
     keys = ["obs_date", "store", "item"]
-    kept = ST.appended_rows(ST.deduplicated(stream(spark, folder, batch), keys).select(*keys)).collect()
+    kept = ST.appended_rows(ST.deduplicated(stream(spark, folder, batch), keys, "7 days").select(*keys)).collect()
     assert any(r.store == "s0" and r.obs_date == now.date() for r in kept)
     assert not any(r.store == "s9" for r in kept)
