@@ -252,13 +252,21 @@ _feed_query(
 
 @query(
     "recent_sightings",
-    with_obs("SELECT * FROM (SELECT item, store, price, order_no, cast(obs_date as varchar) AS obs_date, row_number() OVER"
-             " (PARTITION BY item ORDER BY obs_date DESC, price, store, order_no, line_no) AS rank,"
-             " FROM obs QUALIFY count(*) OVER (PARTITION BY item) >= 2) WHERE rank <= 10"),
+    with_obs("WITH n AS (SELECT lower(item) AS name, list({'item': item, 'store': store, 'price': price, 'order_no': order_no,"
+             " 'obs_date': obs_date, 'line_no': line_no}) AS l, count(*) AS c FROM obs GROUP BY 1),"
+             " s AS (SELECT DISTINCT lower(item) AS sought FROM obs WHERE status = 'O'),"
+             " j AS (SELECT sought, unnest(l) AS r, sum(c) OVER (PARTITION BY sought) AS c FROM s JOIN n ON contains(name, sought))"
+             " SELECT * FROM (SELECT sought, r.item AS item, r.store AS store, r.price AS price, r.order_no AS order_no,"
+             " cast(r.obs_date as varchar) AS obs_date, row_number() OVER"
+             " (PARTITION BY sought ORDER BY r.obs_date DESC, r.price, r.store, r.order_no, r.line_no) AS rank FROM j WHERE c >= 2)"
+             " WHERE rank <= 10"),
 )
 def recent_sightings(spark, sf):
-    rows = observations(spark, sf).select("item", "store", "price", "order_no", "line_no", "obs_date")
-    out = D.recent_sightings(rows, "item", 10, ("price", "store", "order_no", "line_no"))
+    """Last ten sightings of every current item, by part of the name."""
+    rows = observations(spark, sf)
+    sought = rows.where("status = 'O'").select("item")
+    seen = rows.select("item", "store", "price", "order_no", "line_no", "obs_date")
+    out = D.recent_sightings(sought, seen, "item", 10, ("price", "store", "order_no", "line_no"))
     return out.drop("line_no").withColumns(
         {"obs_date": F.col("obs_date").cast("string"), "rank": F.col("rank").cast("bigint")}
     )
@@ -323,6 +331,43 @@ def insights(spark, sf):
     )
 
 
+@query(
+    "insight_lists",
+    with_obs(f"""SELECT 'category' AS section, category AS name, count(*) AS n, NULL::varchar AS store, NULL::double AS price,
+        NULL::double AS deal_score, NULL::bigint AS rank FROM obs GROUP BY category
+        UNION ALL SELECT 'store', store, count(*), NULL, NULL, NULL, NULL FROM obs GROUP BY store
+        UNION ALL SELECT 'top', item, 1, store, price, deal_score, r FROM (SELECT *, row_number() OVER (ORDER BY deal_score DESC, {TIES}) AS r
+          FROM obs) WHERE r <= 5"""),
+)
+def insight_lists(spark, sf):
+    """Deals per category and store, and the five best."""
+    return S.insight_lists(observations(spark, sf), D.sort_order("score_desc", TIE))
+
+
+_top_proteins = with_obs(
+    f"SELECT item, store, price_text, ai_score FROM obs WHERE ai_score > 0 AND {has_any('lower(item)', vocab.PROTEIN_WORDS)}"
+    f" ORDER BY ai_score DESC, {TIES} LIMIT 10"
+)
+
+
+@query("protein_top_ten", _top_proteins)
+def protein_top_ten(spark, sf):
+    rows = P.best_proteins(observations(spark, sf), vocab.PROTEIN_WORDS, 10, TIE)
+    return rows.select("item", "store", "price_text", "ai_score")
+
+
+_after = with_obs(f"SELECT {', '.join(ROW)} FROM obs ORDER BY deal_score DESC NULLS LAST, {TIES} LIMIT 50 OFFSET 50")
+
+
+@query("deals_page_after", _after)
+def deals_page_after(spark, sf):
+    """The second page, read from behind the first one's last row."""
+    order = [("deal_score", False), *[(t, True) for t in TIE]]
+    rows = observations(spark, sf).select(*dict.fromkeys([*ROW, "deal_score", *TIE]))
+    first = D.page_after(rows, order, None, 50).collect()
+    return D.page_after(rows, order, first[-1].asDict(), 50).select(*ROW)
+
+
 @query("category_frequency", with_obs("SELECT category, count(*) AS n FROM obs GROUP BY category"))
 def category_frequency(spark, sf):
     return S.frequency(observations(spark, sf), "category")

@@ -275,22 +275,36 @@ _PAIRS = """ln AS (SELECT DISTINCT lower(item) AS l FROM cur),
     pj AS (SELECT l, r, contains(l, r) OR contains(r, l) AS holds, len(list_intersect(lw, rw)) AS c, len(lw) AS a, len(rw) AS b
        FROM lw, rw),
     pairs AS (SELECT l, r, holds, a, b, CASE WHEN a > 0 AND b > 0 THEN c / (a + b - c) ELSE 0.0e0 END AS jac FROM pj)"""
-_BEST = f"""{CURHIST}, doc AS (SELECT store, {_DOC_NAME} AS name, price AS doc_price, order_no * 100 + line_no AS pos
-       FROM hist WHERE member), {_PAIRS},
+
+
+def _best(doc_rows: str = "WHERE member", extra: dict[str, str] | None = None) -> str:
+    """The match in SQL; ``extra`` are further columns of the document entries."""
+    extra = extra or {}
+    made = "".join(f", {e} AS {n}" for n, e in extra.items())
+    own, entry, found = ("".join(f", {t}{n}" for n in extra) for t in ("", "d.", "b."))
+    return f"""{CURHIST}, doc AS (SELECT store, {_DOC_NAME} AS name, price AS doc_price, order_no * 100 + line_no AS pos{made}
+       FROM hist {doc_rows}), {_PAIRS},
     near AS (SELECT l, r, CASE WHEN holds THEN 0.8e0 ELSE jac * 0.6e0 END AS base FROM pairs WHERE holds OR jac >= 0.5),
     off AS (SELECT DISTINCT store, item, price FROM cur),
-    d1 AS (SELECT DISTINCT store, lower(name) AS r, name, doc_price, pos FROM doc),
-    sc AS (SELECT o.store, o.item, o.price, d.name, d.doc_price, d.pos,
+    d1 AS (SELECT DISTINCT store, lower(name) AS r, name, doc_price, pos{own} FROM doc),
+    sc AS (SELECT o.store, o.item, o.price, d.name, d.doc_price, d.pos{entry},
        n.base + CASE WHEN o.price > 0 AND d.doc_price > 0 AND abs(o.price - d.doc_price) / o.price < 0.1 THEN 0.2e0 ELSE 0.0e0 END AS s
        FROM off o JOIN near n ON n.l = lower(o.item) JOIN d1 d ON d.store = o.store AND d.r = n.r),
-    bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store, item, price ORDER BY s DESC, pos, name, doc_price) AS k
+    bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store, item, price ORDER BY s DESC, pos, name, doc_price{own}) AS k
        FROM sc WHERE s > 0.5) WHERE k = 1),
     fin AS (SELECT o.store, o.item, o.price, b.name AS doc_name, b.doc_price, {rnd('b.s')} AS confidence,
        {rnd('o.price - b.doc_price')} AS price_difference, CASE WHEN b.item IS NULL THEN 'not_in_pdf'
-        WHEN abs({rnd('o.price - b.doc_price', 4)}) < 0.10 THEN 'verified' ELSE 'price_mismatch' END AS validation_status
+        WHEN abs({rnd('o.price - b.doc_price', 4)}) < 0.10 THEN 'verified' ELSE 'price_mismatch' END AS validation_status{found}
        FROM off o LEFT JOIN bs b ON b.store = o.store AND b.item = o.item AND b.price = o.price)"""
 
 
+_BEST = _best()
+_ENTRY = {
+    "pos_in_doc": "order_no * 100 + line_no", "page": "line_no", "is_member": "member",
+    "indicator": "CASE WHEN member THEN 'member price' ELSE '' END",
+}
+
+
 def _document_match(spark, sf):
     current, history = current_and_history(spark, sf)
     doc = history.where("member").select(
@@ -305,6 +319,17 @@ def best_fuzzy_match(spark, sf):
     return _document_match(spark, sf)
 
 
+@query("best_fuzzy_match_entry", with_obs(f"WITH {_best('', _ENTRY)} SELECT * FROM fin"))
+def best_fuzzy_match_entry(spark, sf):
+    """The whole history as the document; the entry's place, page and member flag come along."""
+    current, history = current_and_history(spark, sf)
+    doc = history.select(
+        "store", F.expr(_DOC_NAME).alias("name"), F.col("price").alias("doc_price"),
+        (F.col("order_no") * 100 + F.col("line_no")).alias("pos"), *[F.expr(e).alias(n) for n, e in _ENTRY.items()],
+    )
+    return X.best_document_match(current, doc, list(_ENTRY))
+
+
 @query("match_status_counts", with_obs(f"WITH {_BEST} SELECT validation_status, count(*) AS n FROM fin GROUP BY 1"))
 def match_status_counts(spark, sf):
     return X.match_status_counts(_document_match(spark, sf))

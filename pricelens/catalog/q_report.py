@@ -149,6 +149,21 @@ def item_average(spark, sf):
     return H.item_average(current.select(*KEY, "item"), history).select(*KEY, half_up(F.col("hist_avg"), 4).alias("hist_avg"))
 
 
+_SINCE = "DATE '2001-08-12'"  # 84 days before the reference date
+
+
+@query(
+    "item_average_12_weeks",
+    with_obs(f"WITH {_ITEM_AVG} SELECT {', '.join(KEY)}, {rnd('hist_avg', 4)} AS hist_avg FROM av").replace(
+        "WHERE status = 'F'", f"WHERE status = 'F' AND obs_date >= {_SINCE}"),
+)
+def item_average_12_weeks(spark, sf):
+    """The same item's mean price over the twelve weeks before the reference date."""
+    current, history = current_and_history(spark, sf)
+    rows = H.item_average(current.select(*KEY, "item"), history, date.fromisoformat(AS_OF), 12)
+    return rows.select(*KEY, half_up(F.col("hist_avg"), 4).alias("hist_avg"))
+
+
 @query(
     "budget_impact",
     with_obs(f"""WITH {_ITEM_AVG}, top AS (SELECT * FROM av WHERE ai_score >= 85 ORDER BY ai_score DESC, {TIES} LIMIT 5),
@@ -340,9 +355,11 @@ def _picks(spark, sf):
         SELECT store, 0 AS part, 0 AS line, concat('📍 ', upper({_SHORT})) AS text FROM hd
         UNION ALL SELECT store, 0, 1, concat(n_deals, ' deals | ', CASE WHEN avg_score >= 75 THEN '🔥 Hot this week!'
           WHEN avg_score >= 65 THEN '✓ Solid deals' ELSE '😐 Average week' END) FROM hd
-        UNION ALL SELECT store, cp.pos, rank, CASE WHEN category IN ({quoted(vocab.REPORT_PROTEINS)})
+        UNION ALL SELECT store, cp.pos, 2 * rank, CASE WHEN category IN ({quoted(vocab.REPORT_PROTEINS)})
           THEN concat(upper(category), ': ', {_deal_sql(30)}) ELSE concat(category, ': ', {_deal_sql(25)}) END
-          FROM ps1 JOIN cp USING (category) WHERE rank <= CASE WHEN category IN ({quoted(vocab.REPORT_PROTEINS)}) THEN 2 ELSE 1 END"""),
+          FROM ps1 JOIN cp USING (category) WHERE rank <= CASE WHEN category IN ({quoted(vocab.REPORT_PROTEINS)}) THEN 2 ELSE 1 END
+        UNION ALL SELECT store, cp.pos, 2 * rank + 1, concat('    ↳ - ', context_text) FROM ps1 JOIN cp USING (category)
+          WHERE rank <= 2 AND category IN ({quoted(vocab.REPORT_PROTEINS)}) AND price_note <> '' AND context_text <> ''"""),
 )
 def store_report(spark, sf):
     return R.store_report(*_picks(spark, sf)).select(

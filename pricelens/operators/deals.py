@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelens.functions.score import tags
+from pricelens.plans.blocking import substring_links
 from pricelens.plans.ranking import positions, top_rows
 
 
@@ -131,11 +132,25 @@ def weekly_per_store(feeds: DataFrame, key: str = "store") -> DataFrame:
     return top_rows(feeds, [key], [F.when(weekly, 0).otherwise(1), F.col("feed_pos").asc()], 1, "_r").drop("_r")
 
 
-def recent_sightings(history: DataFrame, key: str, k: int = 10, ties: Sequence[str] = ("price",)) -> DataFrame:
-    """Last ``k`` sightings per item, for items seen at least twice."""
-    often = history.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select(key)
+def recent_sightings(
+    items: DataFrame, history: DataFrame, key: str = "item", k: int = 10, ties: Sequence[str] = ("price",)
+) -> DataFrame:
+    """Last ``k`` dated sightings of every item: history rows whose name holds the
+    item's name, case-blind, for items seen at least twice.
+
+    Names are linked, not rows: each history name keeps its last ``k`` rows before
+    they meet the links.  Columns: sought (the item in lower case), those of the
+    history, rank.
+    """
+    dated = history.where(F.col("obs_date").isNotNull()).withColumn("_name", F.lower(key))
+    counts = dated.groupBy("_name").agg(F.count(F.lit(1)).alias("_n"))
+    sought = items.select(F.lower(key).alias("sought")).distinct()
+    links = substring_links(sought, "sought", counts, "_name")
+    often = links.join(counts, "_name").groupBy("sought").agg(F.sum("_n").alias("_n")).where("_n >= 2").select("sought")
     order = [F.col("obs_date").desc(), *[F.col(t).asc() for t in ties]]
-    return top_rows(history.join(often, key, "left_semi"), [key], order, k)
+    last = top_rows(dated, ["_name"], order, k, "_r").drop("_r")
+    rows = links.join(often, "sought", "left_semi").join(last, "_name").drop("_name")
+    return top_rows(rows, ["sought"], order, k)
 
 
 def price_history(history: DataFrame, key: str) -> DataFrame:

@@ -46,6 +46,18 @@ def name_matches(df: DataFrame, words: list[str]) -> DataFrame:
     return df.where(names_any(F.col("item"), words))
 
 
+def best_proteins(df: DataFrame, words: list[str], k: int = 10, ties=(), score: str = "ai_score") -> DataFrame:
+    """The ``k`` best-scored rows that name any of the words; unscored rows stay out."""
+    by = [F.col(score).desc(), *[F.col(t).asc_nulls_last() for t in ties]]
+    return name_matches(df.where(F.col(score) > 0), words).orderBy(*by).limit(k)
+
+
+def with_filled_subcategory(df: DataFrame, fallback: str = "category") -> DataFrame:
+    """A blank subcategory takes the category's name."""
+    blank = is_blank(F.col("sub_category"))
+    return df.withColumn("sub_category", F.when(blank, F.col(fallback)).otherwise(F.col("sub_category")))
+
+
 def presets() -> dict[str, Column]:
     """Named one-click filters of the deal list."""
     return {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pricelens.functions import vocab
 from pricelens.functions.numbers import MONEY_STEPS, as_steps, half_up, weighted_avg
 from pricelens.functions.text import is_blank, keywords, lower_or_blank, needed_hits
+from pricelens.operators.filters import within_days
 from pricelens.operators.market import prefix_market
 from pricelens.plans.blocking import keyword_hits, keyword_links, substring_links
 from pricelens.plans.joins import null_safe_join
@@ -352,8 +354,11 @@ def with_item_store_stats(current: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
-def item_average(current: DataFrame, history: DataFrame) -> DataFrame:
-    """Current rows with the mean positive history price of the same item."""
+def item_average(current: DataFrame, history: DataFrame, as_of: date | None = None, weeks: int = 12) -> DataFrame:
+    """Current rows with the mean positive history price of the same item, over the
+    ``weeks`` before ``as_of`` or, without it, over all time."""
+    if as_of is not None:
+        history = within_days(history, as_of, 7 * weeks)
     means = history.where("price > 0").groupBy(F.lower("item").alias("item_key")).agg(
         (F.sum(as_steps(F.col("price"))) / F.count("price") / F.lit(float(MONEY_STEPS))).alias("hist_avg")
     )

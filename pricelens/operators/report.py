@@ -112,11 +112,16 @@ def store_report(rollup: DataFrame, picks: DataFrame) -> DataFrame:
     is_protein = F.col("category").isin(vocab.REPORT_PROTEINS)
     chosen = own.where((is_protein & (F.col("rank") <= 2)) | (~is_protein & (F.col("rank") == 1)))
     lines = chosen.select(
-        "store_key", "store", _category_pos(FOOD).alias("part"), F.col("rank").alias("line"),
+        "store_key", "store", _category_pos(FOOD).alias("part"), (2 * F.col("rank")).alias("line"),
         F.when(is_protein, F.concat(F.upper("category"), F.lit(": "), _deal_text(30)))
         .otherwise(F.concat(F.col("category"), F.lit(": "), _deal_text(25))).alias("text"),
     )
-    return title.unionByName(total).unionByName(lines).orderBy("store_key", "store", "part", "line")
+    # a counter protein shows its pound price; what the pick is compared with follows below
+    below = chosen.where(is_protein & (F.col("price_note") != "") & (F.col("context_text") != "")).select(
+        "store_key", "store", _category_pos(FOOD).alias("part"), (2 * F.col("rank") + 1).alias("line"),
+        F.concat(F.lit("    ↳ - "), F.col("context_text")).alias("text"),
+    )
+    return title.unionByName(total).unionByName(lines).unionByName(below).orderBy("store_key", "store", "part", "line")
 
 
 def category_report(rollup: DataFrame, picks: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.functions import vocab
@@ -63,6 +63,22 @@ def insights(df: DataFrame, hot: float = 80) -> DataFrame:
     )
 
 
+def insight_lists(df: DataFrame, order: list[Column], k: int = 5) -> DataFrame:
+    """Rows beside the headline figures: deals per category, deals per store and the
+    ``k`` best deals in ``order``.  Columns: section, name, n, store, price, deal_score, rank."""
+    none = {"store": "string", "price": "double", "deal_score": "double", "rank": "bigint"}
+    blank = [F.lit(None).cast(t).alias(c) for c, t in none.items()]
+    counts = [
+        df.groupBy(F.col(c).alias("name")).agg(_one().alias("n")).select(F.lit(c).alias("section"), "name", "n", *blank)
+        for c in ("category", "store")
+    ]
+    best = df.orderBy(*order).limit(k).select(
+        F.lit("top").alias("section"), F.col("item").alias("name"), F.lit(1).cast("bigint").alias("n"), "store", "price",
+        "deal_score", F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("rank"),  # k rows
+    )
+    return counts[0].unionAll(counts[1]).unionAll(best)
+
+
 def frequency(df: DataFrame, column: str, head: int | None = None) -> DataFrame:
     """Rows per value, most frequent first."""
     counts = df.groupBy(column).agg(_one().alias("n")).orderBy(F.desc("n"), column)

@@ -55,7 +55,18 @@ def new_path(spark: SparkSession, purpose: str) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
+    return staged(df)[0]
+
+
+def staged(df: DataFrame) -> tuple[DataFrame, str]:
+    """As ``cut_lineage``, with the folder, for jobs that know when its last reader is done."""
     spark = df.sparkSession
     path = new_path(spark, "stage")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a staged folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
