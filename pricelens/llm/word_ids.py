@@ -1,10 +1,10 @@
-"""Token ids of whole texts, each distinct white-space-delimited chunk tokenized once.
+"""Token ids of whole texts, each distinct word tokenized once.
 
-The public word-level tokenizer drops white space and never merges across it, so a
-text's ids are its chunks' ids in order.  A chunk of Latin letters with plain
-punctuation behind it goes to the tokenizer's model directly; any other chunk, and
-any text with control characters that only Python takes for white space, goes
-through the tokenizer as it is.
+The public word-level tokenizer lower-cases, drops white space and never merges
+across it, nor from a run of letters into what is none.  A text of ASCII and Latin-1
+letters is cut at those places, and its ids are its parts' ids in order; runs of
+letters go to the tokenizer's model directly.  Any other text is cut at white space
+only, or not at all if it holds control characters that only Python takes for white space.
 """
 
 from __future__ import annotations
@@ -13,11 +13,14 @@ import os
 import re
 import sys
 import types
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|]*)")
+#: beyond these, letters may join or change in ways that only the tokenizer knows; ' starts parts like 's
+_UNUSUAL = re.compile(r"[^\x20-\x26\x28-\x7e\n\t\rÀ-ÖØ-öø-ÿ]|<\|")
+_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[^\sa-zß-öø-ÿ]+")
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
 
 
@@ -39,15 +42,20 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Numbers(dict):
-    """Numbers its keys from 0 in the order they come up."""
+    """Numbers its keys from 0 in the order they come up; ``fresh`` lists new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
 
     def __missing__(self, key):
         number = self[key] = len(self)
+        self.fresh.append(key)
         return number
 
 
 class WordTokenizer:
-    """Holds at most about ``limit`` chunks; beyond that it starts anew."""
+    """Holds at most about ``limit`` parts; beyond that it starts anew."""
 
     def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,46 +66,40 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.numbers, self.cores, self.tails = _Numbers(), {}, {"": []}
-        self.pool, self.used = np.empty(1 << 16, dtype=np.uint32), 0
+        self.numbers, self.used, self.known = _Numbers(), 0, 0
+        self.pool = np.empty(1 << 16, dtype=np.uint32)
         self.starts, self.sizes = np.empty(1 << 14, dtype=np.int64), np.empty(1 << 14, dtype=np.int64)
-        self.known = 0
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _chunk(self, chunk: str) -> list[int]:
-        m = _PLAIN.fullmatch(chunk)
-        if m is None:
-            return self.whole(chunk)
-        core, tail = m[1].lower(), m[2]
-        ids = self.cores.get(core)
-        if ids is None:
-            ids = self.cores[core] = [t.id for t in self.model.tokenize(core if core.isascii() else core.translate(self.letters))]
-        end = self.tails.get(tail)
-        if end is None:
-            end = self.tails[tail] = self.whole(tail)
-        return ids + end
+    def _part(self, part: str) -> list[int]:
+        if _LETTERS.fullmatch(part):
+            return [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.letters))]
+        return self.whole(part)
 
     def _learn(self) -> None:
-        for chunk in list(islice(self.numbers, self.known, None)):
-            ids = self._chunk(chunk)
-            n = len(ids)
-            if self.used + n > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.empty(max(n, len(self.pool)), dtype=np.uint32)])
-            if self.known == len(self.starts):
-                self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
-                self.sizes = np.concatenate([self.sizes, np.empty_like(self.sizes)])
-            self.pool[self.used:self.used + n] = ids
-            self.starts[self.known], self.sizes[self.known] = self.used, n
-            self.used += n
-            self.known += 1
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        found = [self._part(p) for p in fresh]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        total = int(sizes.sum())
+        self.pool = _room(self.pool, self.used + total)
+        self.starts, self.sizes = _room(self.starts, self.known + len(found)), _room(self.sizes, self.known + len(found))
+        self.pool[self.used:self.used + total] = list(chain.from_iterable(found))
+        here = slice(self.known, self.known + len(found))
+        self.starts[here], self.sizes[here] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += total
+        self.known += len(found)
 
     def ids(self, text: str) -> np.ndarray:
-        if _ODD.search(text):
+        if not _UNUSUAL.search(text):
+            parts = _PARTS.findall(text.lower())
+        elif not _ODD.search(text):
+            parts = text.split()
+        else:
             return np.array(self.whole(text), dtype=np.uint32)
-        at = np.fromiter(map(self.numbers.__getitem__, text.split()), dtype=np.int64)
-        if len(self.numbers) > self.known:
+        at = np.fromiter(map(self.numbers.__getitem__, parts), dtype=np.int64, count=len(parts))
+        if self.numbers.fresh:
             self._learn()
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
@@ -105,3 +107,9 @@ class WordTokenizer:
         if self.known > self.limit:
             self._clear()
         return out
+
+
+def _room(array: np.ndarray, need: int) -> np.ndarray:
+    if need <= len(array):
+        return array
+    return np.concatenate([array, np.empty(max(need - len(array), len(array)), dtype=array.dtype)])
