@@ -106,7 +106,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 
 
 def repeated_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 120, least: int = LEAST, most: int = MOST,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 80, least: int = LEAST, most: int = MOST,
 ) -> DataFrame:
     """One row per passage that consists of neighbouring chunks which other
     documents hold too: id, row_key, start, stop (code points, end exclusive),

@@ -67,24 +67,35 @@ class Counter:
 
     def search(self, word: str) -> tuple[float, int]:
         """Best score and its number of pieces."""
-        n = len(word)
-        best: list[float | None] = [0.0] + [None] * n
+        n, unknown = len(word), self.unknown
+        best = [0.0] + [float("-inf")] * n
         count, open_run = [0] * (n + 1), [False] * (n + 1)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, match in self.automaton.iter(word):
-            ends[end + 1].append(match)
-        for e in range(1, n + 1):
-            alone = False
-            for size, score in sorted(ends[e], reverse=True):  # longest piece, earliest start first
-                s = e - size
-                alone |= size == 1
-                if best[e] is None or best[s] + score > best[e]:
-                    best[e], count[e], open_run[e] = best[s] + score, count[s] + 1, False
+
+        def lonely(e: int) -> None:
+            """The character before ``e`` is no piece: it may be unknown, at its cost."""
+            s = e - 1
+            if best[s] + unknown > best[e]:
+                best[e], open_run[e] = best[s] + unknown, True
+                count[e] = count[s] + (len(word[s].encode()) if self.bytes_too else int(not open_run[s]))
+
+        done, alone = 0, True
+        # ends ascend; of the matches with one end the longest comes first
+        for end, (size, score) in self.automaton.iter(word):
+            e = end + 1
+            while done < e:
+                if not alone:
+                    lonely(done)
+                done, alone = done + 1, False
+            alone = alone or size == 1
+            value = best[e - size] + score
+            if value > best[e]:
+                best[e], count[e], open_run[e] = value, count[e - size] + 1, False
+        while done < n:
             if not alone:
-                s = e - 1
-                if best[e] is None or best[s] + self.unknown > best[e]:
-                    more = len(word[s].encode()) if self.bytes_too else int(not open_run[s])
-                    best[e], count[e], open_run[e] = best[s] + self.unknown, count[s] + more, True
+                lonely(done)
+            done, alone = done + 1, False
+        if n and not alone:
+            lonely(n)
         return best[n], count[n]
 
     def count(self, text: str) -> tuple[float, int]:
