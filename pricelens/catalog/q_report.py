@@ -66,6 +66,43 @@ def current_week(spark, sf):
     )
 
 
+_LOOKBACK = "WHERE status = 'F' AND obs_date >= DATE '2001-05-08'"  # 180 days before the reference date
+_WEEK_COLS = [*KEY, "store", "item", "norm_name", "price", "price_basis", "unit_price", "unit_type", "obs_date"]
+
+
+def _run_week(spark, sf):
+    offers, archive = current_and_history(spark, sf)
+    return W.run_week(offers.select(*_WEEK_COLS), archive.select(*_WEEK_COLS), [F.col(t) for t in TIE], LAST_DAY, 180)
+
+
+_LATE_WEEK = with_obs(_WEEK).replace("WHERE status = 'F'", _LOOKBACK)
+_SCORES = ["historical_min", "historical_avg", "historical_count", "price_percentile", "is_lowest", "pct_below_avg", "deal_score"]
+
+
+@query(
+    "weekly_run_scores",
+    f"SELECT {', '.join(KEY + _SCORES)} FROM ({_LATE_WEEK})",
+)
+def weekly_run_scores(spark, sf):
+    """Scored current table; statistics over the 180 days before the reference date."""
+    return _run_week(spark, sf)[0].select(*KEY, *_SCORES)
+
+
+@query(
+    "weekly_run_archive",
+    with_obs(f"""WITH {_CLEAN}, b AS (
+        SELECT 0 AS a, obs_date AS day, CASE WHEN fixed THEN 'per_100g' ELSE price_basis END AS basis, * EXCLUDE (price_basis) FROM hist
+        UNION ALL BY NAME SELECT 1 AS a, DATE '{AS_OF}' AS day, price_basis AS basis, * EXCLUDE (price_basis) FROM cur)
+      SELECT {', '.join(KEY)}, cast(day as varchar) AS obs_date, store, item, price, basis AS price_basis, unit_price, unit_type FROM
+       (SELECT *, row_number() OVER (PARTITION BY day, store, lower(trim(item)), price ORDER BY a DESC, day DESC,
+         {', '.join(t + ' DESC' for t in TIE if t != 'obs_date')}) AS nth FROM b) WHERE nth = 1"""),
+)
+def weekly_run_archive(spark, sf):
+    """The whole archive after the weekly run: no row is lost to the lookback window."""
+    held = _run_week(spark, sf)[1].drop("norm_name")
+    return held.withColumn("obs_date", F.col("obs_date").cast("string"))
+
+
 # --- item statistics -------------------------------------------------------------
 _ITEM_STATS = f"""{CURHIST}, b AS (SELECT lower(item) AS k, store, obs_date, price FROM hist
       UNION ALL SELECT lower(item), NULL, obs_date, price FROM hist),

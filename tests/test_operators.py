@@ -101,7 +101,7 @@ def test_best_match_bonus_and_page_edges(spark):
                                   "feed int, page int, page_pos int, left double, right double, bottom double, top double")
     items = spark.createDataFrame([(1, 1, 90.0, 110.0, 40.0, 60.0), (1, 2, 700.0, 720.0, 0.0, 0.0), (1, 3, -50.0, -40.0, 0.0, 0.0)],
                                   "feed int, item_id int, left double, right double, bottom double, top double")
-    placed = {r.item_id: r.page for r in X.place_on_pages(items, pages, 64.0).collect()}
+    placed = {r.item_id: r.page for r in X.place_on_pages(items, pages).collect()}
     assert placed == {1: 10, 2: 11, 3: None}
 
 
@@ -160,3 +160,74 @@ def test_backfill_and_merge_do_not_fan_out(spark):
     results = spark.createDataFrame([("a", 7), ("a", 7)], "item string, score int")
     merged = E.merge_results(rows_, results, "item", {"score": 50}, [F.col("score")])
     assert sorted((r.n, r.score) for r in merged.collect()) == [(1, 7), (2, 7), (3, 50)]
+
+
+def test_weekly_run_keeps_old_archive_rows_and_columns(spark):
+    kind = ROW + ", price_basis string, order_no long"
+    old = [("A", "milk jug", "Milk", 3.0, None, None, date(2020, 1, 1), "each", 1), ("A", "milk jug", "Milk", 9.0, None, None, date(2025, 12, 1), "each", 2)]
+    offers = spark.createDataFrame([("A", "milk jug", "Milk", 4.0, None, None, DAY, "each", 3)], kind)
+    archive = spark.createDataFrame(old, kind)
+    current, after = W.run_week(offers, archive, [F.col("order_no")], DAY, 180)
+    assert after.columns == archive.columns and {r.order_no for r in after.collect()} == {1, 2, 3}
+    assert current.first().historical_count < 3
+
+
+def test_results_of_repeated_keys_do_not_depend_on_partitions(spark):
+    from pricelens.operators import enrich as E
+
+    rows_ = spark.createDataFrame([(f"k{i}",) for i in range(50)], "item string")
+    results = spark.createDataFrame([(f"k{i}", float(j)) for i in range(50) for j in range(20)], "item string, score double")
+    for n in (1, 7, 13):
+        merged = E.merge_results(rows_, results.repartition(n), "item", {"score": 0.0}, [F.col("score")])
+        assert {r.score for r in merged.collect()} == {19.0}
+
+
+def test_regex_search_ignores_case_but_not_classes(spark):
+    from pricelens.operators import filters as P
+
+    df = spark.createDataFrame([("abc 12",), ("12 ABC",)], "item string")
+    found = lambda t: [r.item for r in P.search(df, t, ["item"], "regex").collect()]
+    assert found(r"^\D+ ") == ["abc 12"] and found("^ABC") == ["abc 12"]
+
+
+def test_keep_last_refuses_an_order_of_its_own(spark):
+    import pytest
+
+    df = spark.createDataFrame([("a", 1), ("a", 2)], "k string, v int")
+    assert U.dedupe(df, ["k"], [F.col("v")], keep="last").first().v == 2
+    with pytest.raises(ValueError):
+        U.dedupe(df, ["k"], [F.col("v").desc()], keep="last")
+
+
+def test_pages_are_whole_and_continue(spark):
+    import pytest
+
+    from pricelens.operators import deals as D
+
+    df = spark.range(600).select(F.col("id").alias("order_no"), F.when(F.col("id") % 7 > 0, F.col("id") % 5).alias("deal_score"))
+    by = [("deal_score", False), ("order_no", True)]
+    whole = [r.order_no for r in D.page(df, [F.col("deal_score").desc_nulls_last(), F.col("order_no")], 0, 600).collect()]
+    assert len(whole) == 600
+    got, last = [], None
+    while rows_ := D.page_after(df, by, last, 170).collect():
+        got += [r.order_no for r in rows_]
+        last = rows_[-1].asDict()
+    assert got == whole
+    with pytest.raises(ValueError):
+        D.page(df, [F.col("order_no")], 0, 201, most=200)
+
+
+def test_appends_and_lookbacks_read_their_months_only(spark, tmp_path):
+    from pricelens.operators.filters import within_days
+
+    path = str(tmp_path / "archive")
+    kind = "obs_date date, store string, item string, price double, order_no long"
+    rows_ = [(date(2025, m, 3), "A", f"i{k}", 1.0, k) for m in range(1, 13) for k in range(5)]
+    TB.append_archive_table(spark, path, spark.createDataFrame(rows_, kind), [F.col("order_no")])
+    plan = TB.held_months(spark, path, ["2025-03", "2025-04"])._jdf.queryExecution().executedPlan().toString()
+    assert "obs_month#" in plan.split("PartitionFilters")[1] and "2025-03" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    late = within_days(TB.held_months(spark, path, [f"2025-{m:02}" for m in range(1, 13)]), date(2025, 12, 31), 40)
+    assert late.count() == 5 and ">= 2025-11" in late._jdf.queryExecution().executedPlan().toString()
+    before = {r.obs_month: r.n for r in spark.read.parquet(path).groupBy("obs_month").agg(F.count("*").alias("n")).collect()}
+    TB.append_archive_table(spark, path, spark.createDataFrame(rows_[:5] + [(date(2025, 1, 4), "B", "x", 2.0, 9)], kind), [F.col("order_no")])
+    assert spark.read.parquet(path).count() == 61 and len(before) == 12
