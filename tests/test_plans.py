@@ -110,3 +110,9 @@ def test_exact_median(spark):
     rows, df = skewed(spark)
     got = {r.k: r.median for r in ranking.exact_median(df, ["k"], "v").collect()}
     assert got == {k: statistics.median([v for kk, v, _ in rows if kk == k]) for k in {r[0] for r in rows}}
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(200, 200), (301, 300), (300, 301), (302, 301)]
+    found = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {300: 300, 301: 300, 302: 300}
