@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.llm.common import row_key
+from pricelens.plans.components import connected_components
 from pricelens.session import cut_lineage
 
 SEED = 42
@@ -161,33 +162,6 @@ def link_forest(nodes: DataFrame) -> DataFrame:
     return sorted_keys.mapInArrow(_bucket_edges, "a bigint, b bigint").distinct()
 
 
-def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, root: the smallest node of each connected component, for all nodes of
-    ``edges`` (columns a, b) but the roots.  Alternating stars: every node's larger neighbours
-    are hung on its smallest neighbour, then its smaller ones.  Minima are
-    pre-aggregated and joined back, so a node with very many edges is not gathered
-    in one task.  Every round is written to the shared folder."""
-    state = cut_lineage(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
-    before = None
-    for _ in range(max_rounds):
-        both = state.unionAll(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(
-            least.select("u", F.col("m").alias("v"))
-        )
-        state = cut_lineage(small.where("u <> v").distinct())
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
-    raise RuntimeError("components did not settle")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """One row per input row: id, row_key, fp, fingerprint (16 hex digits),
     component_id and representative.
@@ -203,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = cut_lineage(rows.groupBy("fp").agg(
         F.min(F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("row_key").alias("row_key"))).alias("least")
     ))
-    hung = connected(link_forest(nodes.select("fp")))
+    hung = connected_components(link_forest(nodes.select("fp")))
     rooted = nodes.join(hung, nodes["fp"] == hung["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("first"))
