@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
+from pricelens.catalog.q_parse import _DRINK
 from pricelens.catalog.registry import avg, query, rnd
-from pricelens.catalog.tables import TIE, current_and_history, observations, table, with_obs
+from pricelens.catalog.tables import AS_OF, TIE, current_and_history, observations, table, with_obs
 from pricelens.functions.numbers import half_up
 from pricelens.operators import deals as D
 from pricelens.plans import weekly as W
@@ -21,9 +24,9 @@ KEY = ["order_no", "line_no", "part_no", "supp_no"]
 # --- feeds -----------------------------------------------------------------------
 
 
-def _feed_documents(spark, sf):
+def _feed_documents(spark, sf, which="true"):
     """One landed feed per observation, two items each, in drifting shapes."""
-    obs = observations(spark, sf)
+    obs = observations(spark, sf).where(which)
     none = F.lit(None).cast("string")
     even = F.col("line_no") % 2 == 0
 
@@ -79,6 +82,35 @@ def feed_json_files(spark, sf):
     )
 
 
+@query(
+    "feed_items_in_order",
+    with_obs("""SELECT order_no AS feed_id, store, o AS feed_order, CASE o WHEN 0 THEN item ELSE '' END AS item, count(*) AS n
+        FROM obs, (SELECT unnest([0, 1]) AS o) GROUP BY ALL"""),
+)
+def feed_items_in_order(spark, sf):
+    """Flattened feed items with their place in the feed, blank names included."""
+    rows = FE.flatten_feeds(_feed_documents(spark, sf))
+    return rows.groupBy("feed_id", "store", F.col("feed_order").cast("bigint").alias("feed_order"), "item").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+_WEEK_FROM_FEEDS = with_obs(f"""WITH dd AS (SELECT *, row_number() OVER (PARTITION BY store, item, price ORDER BY order_no) AS nth FROM obs
+      WHERE status = 'O' AND trim(item) <> '' AND price > 0),
+    cur AS (SELECT * FROM dd WHERE nth = 1 AND NOT ({_DRINK.replace('lower(t)', 'lower(item)')})),
+    b AS (SELECT obs_date AS day, store, item, price FROM obs WHERE status = 'F' UNION ALL SELECT DATE '{AS_OF}', store, item, price FROM cur)
+    SELECT DISTINCT cast(day as varchar) AS obs_date, store, lower(trim(item)) AS item, price FROM b""")
+
+
+@query("weekly_run_from_feeds", _WEEK_FROM_FEEDS)
+def weekly_run_from_feeds(spark, sf):
+    """Feeds of the open offers through the whole weekly job; the keys of the archive it leaves."""
+    _, history = current_and_history(spark, sf)
+    feeds = _feed_documents(spark, sf, "status = 'O'")
+    cols = ["obs_date", "store", "item", "norm_name", "price", "price_basis", "unit_price", "unit_type", "valid_from", "valid_until"]
+    _, archive = W.run_from_feeds(feeds, history.select(*cols), date.fromisoformat(AS_OF))
+    return archive.select(F.col("obs_date").cast("string").alias("obs_date"), "store", F.lower(F.trim("item")).alias("item"), "price")
+
+
 # --- landed texts ----------------------------------------------------------------
 _LINES = (
     "concat('ProductName | Price/Discount | MEMBER or REGULAR', chr(10), p_name, ' | $', cast(p_size as varchar(10)), '.49 | ',"
@@ -217,6 +249,39 @@ def archive_table_append(spark, sf):
     return spark.read.parquet(path).groupBy(F.col("obs_month").cast("string").alias("obs_month")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_TEXTS = ["store", "item", "price_text", "price"]
+
+
+@query("csv_table", with_obs("SELECT store, count(*) AS n, count(DISTINCT item) AS n_items, min(price) AS low FROM obs GROUP BY store"))
+def csv_table(spark, sf):
+    """The table written as CSV and read back with its schema."""
+    path = new_path(spark, "csv")
+    rows = observations(spark, sf).select(*_TEXTS)
+    rows.write.option("header", True).csv(path)
+    back = TB.read_observations(spark, path, rows.schema, "csv")
+    return back.groupBy("store").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("item").alias("n_items"), F.min("price").alias("low"))
+
+
+@query("first_available_table", with_obs("SELECT store, count(*) AS n FROM obs GROUP BY store"))
+def first_available_table(spark, sf):
+    """The first of several places that exists is read; the others are missing."""
+    path = new_path(spark, "second")
+    rows = observations(spark, sf).select(*_TEXTS)
+    rows.write.parquet(path)
+    found = TB.first_available(spark, [new_path(spark, "first"), path], rows.schema)
+    return found.groupBy("store").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("report_lines_file", with_obs("SELECT concat(store, ': ', count(*), ' deals') AS value FROM obs GROUP BY store"))
+def report_lines_file(spark, sf):
+    """Report lines written as text and read back."""
+    path = new_path(spark, "lines")
+    counts = observations(spark, sf).groupBy("store").agg(F.count(F.lit(1)).alias("n"))
+    TB.write_lines(counts.select("store", F.concat("store", F.lit(": "), "n", F.lit(" deals")).alias("text")), path, ["store"])
+    return spark.read.text(path)
+
+
 @query(
     "member_extract",
     with_obs("SELECT store, item, price_text, price FROM obs WHERE member"),
@@ -262,6 +327,20 @@ def stream_ingest(spark, sf):
     return archive.select("event_id", "store", "item", "price", F.col("obs_date").cast("string").alias("obs_date"))
 
 
+@query(
+    "stream_ingest_files",
+    f"WITH {_EV} SELECT DISTINCT cast(obs_date as varchar) AS obs_date, store, item, price FROM ev",
+)
+def stream_ingest_files(spark, sf):
+    """The events in eight files, three a micro-batch; what the archive holds does not depend on that."""
+    folder = new_path(spark, "landed")
+    events = table(spark, sf, "events")
+    events.repartition(8, "event_id").write.parquet(folder)
+    stream = _event_rows(ST.read_stream(spark, folder, events.schema, files_per_batch=3))
+    archive = ST.ingest(stream, new_path(spark, "archive"), [F.col("event_id")])
+    return archive.select(F.col("obs_date").cast("string").alias("obs_date"), "store", "item", "price")
+
+
 @query(
     "stream_dedup",
     f"WITH {_EV} SELECT DISTINCT cast(obs_date as varchar) AS obs_date, store, item FROM ev",
