@@ -10,11 +10,13 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 from pricelens.catalog import QUERIES
+from pricelens.catalog.tables import observations
 
 HEADLINE = [
     "current_week", "historical_stats", "tiered_match", "cross_store_rank", "cross_store_context", "prefix_match",
@@ -31,11 +33,15 @@ def main(names: list[str]) -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("pricelens-bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pricelens-bench-")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("sum(l_quantity)").collect()
     seconds = {}
+    start = time.time()
+    observations(spark, sf_dir)  # landed once a session; the queries read the finished table
+    seconds["landing"] = round(time.time() - start, 2)
     for name in names or HEADLINE:
         start = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -276,6 +276,8 @@ _DETAIL = f"""{CURHIST}, names AS (SELECT DISTINCT item, norm_name FROM cur),
     "item_detail",
     with_obs(f"""WITH {_DETAIL} SELECT item, norm_name, how, matched_rows, cast(d1 as varchar) AS first_seen,
         cast(d2 as varchar) AS last_seen, lo AS historical_min,
+        least(lo, (SELECT min(price) FROM obs c WHERE c.status = 'O' AND c.item = dt.item AND c.norm_name IS NOT DISTINCT FROM dt.norm_name))
+          AS lowest_price,
         CASE WHEN matched_rows >= 2 THEN {rnd('matched_rows / greatest((d2 - d1) / 30.0e0, 1.0e0)', 1)} END AS per_month FROM dt"""),
 )
 def item_detail(spark, sf):

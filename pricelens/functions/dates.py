@@ -50,9 +50,5 @@ def repaired_day(observed: Column, as_of: Column) -> Column:
     return F.least(observed, as_of)
 
 
-def months_between_days(later: Column, earlier: Column) -> Column:
-    return F.datediff(later, earlier) / 30
-
-
 def weeks_since(later: Column, earlier: Column) -> Column:
     return F.floor(F.datediff(later, earlier) / 7).cast("bigint")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pricelens.functions import vocab
-from pricelens.functions.numbers import clamp, half_up, half_up_int, money, whole
+from pricelens.functions.numbers import clamp, half_up, money, whole
 from pricelens.functions.text import first_rule
 
 
@@ -245,7 +245,3 @@ def against_average(price: Column, avg: Column) -> Column:
 
 def against_range(price: Column, low: Column, high: Column) -> Column:
     return F.when(price == low, F.lit("Lowest ever!")).when(price == high, F.lit("Highest seen"))
-
-
-def pct_int(value: Column) -> Column:
-    return half_up_int(value)

@@ -197,31 +197,14 @@ CATEGORY_WORDS = {
         "garbage bag", "dish soap", "fabric softener",
     ],
 }
-TAXONOMY = {
-    "Produce": ["Fruit", "Vegetables", "Herbs", "Pre-cut Fruit/Veg", "Salad Kits"],
-    "Beef": ["Steak", "Ground Beef", "Roast", "Ribs", "Burgers", "Other Beef"],
-    "Pork": ["Chops", "Roast", "Ribs", "Bacon", "Ham", "Ground Pork", "Sausage (Fresh)", "Other Pork"],
-    "Poultry": ["Chicken Breast", "Chicken Thighs/Legs", "Whole Chicken", "Wings", "Turkey",
-                "Ground Poultry", "Sausage (Poultry)"],
-    "Lamb": ["Chops", "Leg", "Ground", "Other Lamb"],
-    "Seafood": ["Fish Fillets", "Whole Fish", "Shrimp/Prawns", "Shellfish", "Smoked/Cured",
-                "Prepared Seafood"],
-    "Dairy & Eggs": ["Milk", "Cheese (Block)", "Cheese (Shredded/Sliced)", "Yogurt",
-                     "Butter/Margarine", "Eggs", "Cream", "Sour Cream"],
-    "Bakery": ["Bread", "Buns/Rolls", "Tortillas/Wraps", "Desserts/Cakes", "Pastries/Donuts",
-               "Bagels/Muffins"],
-    "Pantry": ["Canned Goods", "Pasta/Grains", "Rice", "Sauces/Condiments", "Spices/Oils",
-               "Baking Supplies", "Breakfast/Cereal", "Soups"],
-    "Frozen": ["Pizza", "Fruit/Vegetables", "Meals/Entrees", "Ice Cream/Dessert",
-               "Meat/Seafood (Frozen)", "Breakfast (Frozen)"],
-    "Beverages": ["Water", "Soda/Pop", "Juice", "Coffee", "Tea", "Energy/Sports Drinks",
-                  "Plant-Based Milk"],
-    "Household & Personal": ["Cleaning Supplies", "Paper Products", "Laundry", "Personal Care",
-                             "Health/Pharmacy", "Pet Food/Supplies", "Baby"],
-    "Snacks": ["Chips/Pretzels", "Crackers", "Candy/Chocolate", "Nuts/Seeds", "Cookies",
-               "Bars/Granola"],
-    "Other": ["General", "Floral", "Automotive", "Seasonal", "Deli (Prepared)"],
-}
+TAXONOMY = [
+    "Produce", "Beef", "Pork", "Poultry", "Lamb", "Seafood", "Dairy & Eggs", "Bakery", "Pantry", "Frozen", "Beverages",
+    "Household & Personal", "Snacks", "Other",
+]
+
+# --- fixed values: head lines of the reports --------------------------------------
+STORE_HEAD = {"hot": "🔥 Hot this week!", "solid": "✓ Solid deals", "average": "😐 Average week"}
+CATEGORY_HEAD = {"great": "🔥 Great week!", "decent": "✓ Decent", "average": "😐 Average"}
 
 # --- fixed values: food or not ---------------------------------------------------
 NON_FOOD_CATEGORY_WORDS = ["household", "personal", "pet", "baby", "health"]

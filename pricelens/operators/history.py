@@ -254,8 +254,10 @@ def detail_matches(current: DataFrame, history: DataFrame) -> tuple[DataFrame, D
 
 
 def item_detail(current: DataFrame, history: DataFrame) -> DataFrame:
-    """Matched rows, first and last day, lowest price and frequency per current name."""
+    """Matched rows, first and last day, lowest price with and without the current
+    offers, and frequency per current name."""
     picked, links, sets = detail_matches(current, history)
+    offered = current.groupBy(*NAME).agg(F.min("price").alias("_now"))
     dated = history.groupBy(*NAME).agg(
         F.min("obs_date").alias("d1"), F.max("obs_date").alias("d2"), F.min("price").alias("lo")
     )
@@ -269,8 +271,9 @@ def item_detail(current: DataFrame, history: DataFrame) -> DataFrame:
     found = exact.withColumn("how", F.lit("exact")).unionByName(fuzzy.withColumn("how", F.lit("keywords")))
     days = F.datediff("last_seen", "first_seen") / 30
     per_month = half_up(F.col("matched_rows") / F.greatest(days, F.lit(1.0)), 1)
-    return picked.join(found, ["how", "mkey"]).select(
+    return null_safe_join(picked.join(found, ["how", "mkey"]), offered, NAME).select(
         *NAME, "how", "matched_rows", "first_seen", "last_seen", "historical_min",
+        F.least("historical_min", "_now").alias("lowest_price"),
         F.when(F.col("matched_rows") >= 2, per_month).alias("per_month"),
     )
 

@@ -18,7 +18,9 @@ def cross_store_rank(df: DataFrame, name: str = "norm_name") -> DataFrame:
     occurs on at least two rows, only those rows are ranked, by unit price;
     otherwise all rows by shelf price.  Ranks are positional: equal prices get
     consecutive ranks, ordered by store and the remaining columns.  Rows that
-    are not ranked have a null rank and a count of one.
+    are not ranked have a null rank and a count of one.  Where shelf prices are
+    ranked, the count is that of all rows of the name: a row without a price has no
+    rank but is among those counted.
     """
     has_unit = F.col("unit_price").isNotNull() & F.col("unit_type").isNotNull()
     facts = (

@@ -16,8 +16,6 @@ from pricelens.operators.summary import priority_group
 from pricelens.plans.ranking import exact_median, top_rows
 
 FOOD = vocab.REPORT_PROTEINS + vocab.REPORT_OTHERS
-STORE_HEAD = {"hot": "🔥 Hot this week!", "solid": "✓ Solid deals", "average": "😐 Average week"}
-CATEGORY_HEAD = {"great": "🔥 Great week!", "decent": "✓ Decent", "average": "😐 Average"}
 
 
 def report_rows(df: DataFrame) -> DataFrame:
@@ -99,7 +97,7 @@ def store_report(rollup: DataFrame, picks: DataFrame) -> DataFrame:
         "store", F.col("avg_score"), "n_deals",
         F.format_string("%05.1f", 1000 - F.col("avg_score")).alias("store_key"),
     )
-    verdict = _verdict(F.col("avg_score"), [(75, STORE_HEAD["hot"]), (65, STORE_HEAD["solid"])], STORE_HEAD["average"])
+    verdict = _verdict(F.col("avg_score"), [(75, vocab.STORE_HEAD["hot"]), (65, vocab.STORE_HEAD["solid"])], vocab.STORE_HEAD["average"])
     title = heads.select(
         "store_key", "store", F.lit(0).alias("part"), F.lit(0).alias("line"),
         F.concat(F.lit("📍 "), F.upper(short_store(F.col("store")))).alias("text"),
@@ -128,7 +126,7 @@ def category_report(rollup: DataFrame, picks: DataFrame) -> DataFrame:
     """Line rows of the category report: heads, top deals and the two winners."""
     cats = rollup.where("section in ('protein', 'category')")
     verdict = _verdict(
-        F.col("avg_score"), [(80, CATEGORY_HEAD["great"]), (70, CATEGORY_HEAD["decent"])], CATEGORY_HEAD["average"]
+        F.col("avg_score"), [(80, vocab.CATEGORY_HEAD["great"]), (70, vocab.CATEGORY_HEAD["decent"])], vocab.CATEGORY_HEAD["average"]
     )
     heads = cats.select(
         _category_pos(FOOD).alias("part"), F.lit(0).alias("line"),
@@ -221,8 +219,16 @@ def quarterly_winners(df: DataFrame, day: str = "obs_date") -> DataFrame:
 
 
 def quarter_shift(df: DataFrame, before: str, after: str, day: str = "obs_date") -> DataFrame:
-    """Mean price per category in two quarters side by side, and the change."""
-    rows = df.withColumn("quarter", F.concat(F.year(day), F.lit("-Q"), F.quarter(day)))
+    """Mean price per category in two quarters (such as 2001-Q3) side by side, and the
+    change.  Only the two quarters' days are read."""
+
+    def days(quarter: str) -> Column:
+        year, number = quarter.split("-Q")
+        first = F.make_date(F.lit(int(year)), F.lit(3 * int(number) - 2), F.lit(1))
+        return (F.col(day) >= first) & (F.col(day) < F.add_months(first, 3))
+
+    rows = df.where(days(before) | days(after))
+    rows = rows.withColumn("quarter", F.concat(F.year(day), F.lit("-Q"), F.quarter(day)))
     wide = rows.groupBy("category").pivot("quarter", [before, after]).agg(exact_avg(F.col("price")))
     a, b = F.col(f"`{before}`"), F.col(f"`{after}`")
     return wide.select(

@@ -109,8 +109,16 @@ def score_bands(df: DataFrame, score: str = "deal_score") -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    return df.agg(*[count(c).alias(f"n_{c}") for c in columns])
+    """One row of distinct counts.  Exact counts read each column on its own and
+    group it once, so rows are not multiplied by the columns."""
+    if approximate:
+        return df.agg(*[F.approx_count_distinct(c).alias(f"n_{c}") for c in columns])
+    parts = None
+    for c in columns:
+        one = df.select(F.col(c).alias("v")).where("v is not null").distinct().agg(F.count("v").alias("n"))
+        row = one.select(*[F.when(F.lit(c == o), F.col("n")).alias(f"n_{o}") for o in columns])
+        parts = row if parts is None else parts.unionAll(row)
+    return parts.agg(*[F.max(f"n_{c}").alias(f"n_{c}") for c in columns])
 
 
 def coverage(df: DataFrame) -> DataFrame:

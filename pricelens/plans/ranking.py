@@ -20,6 +20,13 @@ from pricelens.session import cut_lineage
 CHUNK = 100_000
 
 
+def _some(keys: Sequence[str]) -> list[str]:
+    """Without a key the whole table would be one window."""
+    if not keys:
+        raise ValueError("at least one key is needed")
+    return list(keys)
+
+
 def running_counts(
     counted: DataFrame, keys: Sequence[str], value: str, weight: str = "n", width: float = 1.0
 ) -> DataFrame:
@@ -28,7 +35,7 @@ def running_counts(
     ``counted`` has one row per (keys, value).  Slices of ``width`` value units
     are summed first, so a hot key is spread over its slices.
     """
-    keys = list(keys)
+    keys = _some(keys)
     sliced = counted.withColumn("_slice", F.floor(F.col(value) / F.lit(float(width))))
     totals = sliced.groupBy(*keys, "_slice").agg(F.sum(weight).alias("_w"))
     before = Window.partitionBy(*keys).orderBy("_slice")
@@ -51,7 +58,7 @@ def rank_probes(
     the count below a probe's slice; only the values of that one slice are
     compared with it.
     """
-    keys = list(keys)
+    keys = _some(keys)
     cut = F.floor(F.col(value) / F.lit(float(width)))
     c = counted.withColumn("_slice", cut)
     p = probes.withColumn("_slice", cut)
@@ -83,7 +90,7 @@ def positions(df: DataFrame, keys: Sequence[str], levels: Sequence[tuple[str, Co
     columns are interchangeable: they are counted once and expanded again at
     the end, in chunks.  The result has the columns of ``df`` plus ``out``.
     """
-    keys, cols = list(keys), df.columns
+    keys, cols = _some(keys), df.columns
     names = [f"_l{i}" for i in range(len(levels))]
     rest = [c for c in cols if c not in keys]
     # both counted tables are read several times below: write them once
