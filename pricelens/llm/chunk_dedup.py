@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.llm.common import row_key
-from pricelens.session import cut_lineage
 
 #: cut after a byte where these bits of the rolling hash are zero: one in 32
 MASK = np.uint16(0xF800)
@@ -117,14 +116,14 @@ def repeated_passages(
     Null and empty texts have no passages; a repeated row (same id and text) is no
     other document.  Columns besides the two named are ignored.
     """
-    all_chunks = cut_lineage(chunks(docs, id_col, text_col, least, most))
+    # texts are cut once for the counts and once for the places: cheaper than keeping all chunks on disk
+    all_chunks = chunks(docs, id_col, text_col, least, most)
+    row = F.struct("doc", "row_key")
     shared = all_chunks.groupBy("d1", "d2").agg(
-        F.count("*").alias("n_places"), F.min("row_key").alias("low"), F.max("row_key").alias("high"),
-        F.min(F.struct("doc", "row_key")).alias("owner"),
-    ).where("low <> high")
+        F.count("*").alias("n_places"), F.min(row).alias("low"), F.max(row).alias("high"),
+    ).where("low.row_key <> high.row_key").select("d1", "d2", "n_places", F.col("low.row_key").alias("owner"))
     found = all_chunks.join(shared, ["d1", "d2"]).select(
-        "doc", "row_key", "nth", "start", "stop", "n_places",
-        ((F.col("owner.row_key") == F.col("row_key"))).alias("first"),
+        "doc", "row_key", "nth", "start", "stop", "n_places", (F.col("owner") == F.col("row_key")).alias("first"),
     ).dropDuplicates(["doc", "row_key", "nth"])
     line = Window.partitionBy("doc", "row_key").orderBy("nth")
     runs = found.withColumn("run", F.col("nth") - F.row_number().over(line)).groupBy("doc", "row_key", "run").agg(
