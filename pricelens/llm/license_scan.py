@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelens.llm.common import ALNUM, ascii_lower, same, text_key, words
+from pricelens.session import cut_lineage
 
 #: beyond this many template words the join is left to the optimizer
 BROADCAST_WORDS = 50_000
@@ -68,8 +69,9 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...]) -> Data
         if len(w) < 2:
             raise ValueError(f"template {t.label!r} needs two words at least")
         rows += [(i, t.label, len(w) - 1, t.exact, p, w[p], w[p + 1]) for p in range(len(w) - 1)]
-    kind = "template int, label string, n_grams int, exact boolean, tpos int, first string, second string"
-    grams = spark.createDataFrame(rows, kind).withColumn("gram", F.xxhash64("first", "second"))
+    names = ("template", "label", "n_grams", "exact", "tpos", "first", "second")
+    literal = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])
+    grams = spark.range(1).select(F.inline(literal)).withColumn("gram", F.xxhash64("first", "second"))
     return F.broadcast(grams) if len(rows) <= BROADCAST_WORDS else grams
 
 
@@ -108,7 +110,8 @@ def license_spans(
     Null and empty texts and texts of one word have no spans.  Repeated rows (same
     id and text) give their spans once.  Columns besides the two named are ignored.
     """
-    votes = diagonals(docs, templates, id_col, text_col).withColumn("votes", F.size("tposes"))
+    # written once: both kinds of template read the votes
+    votes = cut_lineage(diagonals(docs, templates, id_col, text_col).withColumn("votes", F.size("tposes")))
     exact = votes.where(F.col("exact") & (F.col("votes") == F.col("n_grams"))).select(
         "doc", "text_key", "label", "exact", F.col("diagonal").alias("first_word"),
         (F.col("diagonal") + F.col("n_grams")).alias("last_word"), F.lit(1.0).alias("coverage"),
@@ -155,7 +158,7 @@ def scan_licenses(
     )
     counted = docs.select(
         F.col(id_col).alias("doc"), text_key(F.col(text_col)).alias("text_key"),
-        F.regexp_count(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(ALNUM)).cast("long").alias("n_words"),
+        F.size(words(ascii_lower(F.col(text_col)), ALNUM)).cast("long").alias("n_words"),
     )
     return counted.join(per_doc, same(counted, per_doc, ["doc", "text_key"]), "left").select(
         counted["doc"].alias(id_col), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),

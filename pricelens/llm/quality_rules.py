@@ -35,7 +35,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col("q_text"), F.lit(""))
     staged = rows.select(
         "*", words(F.col("q_text"), SPACED).alias("q_words"),
-        F.filter(F.split(text, "\n", -1), lambda x: F.regexp_like(x, F.lit(SPACED))).alias("q_lines"),
+        F.filter(F.split(text, "\n", -1), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))).alias("q_lines"),
     ).select("*", F.size("q_words").alias("q_n"))
     hashes = F.transform(
         F.sequence(F.lit(0), F.col("q_n") - 3),
