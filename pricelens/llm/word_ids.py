@@ -57,7 +57,7 @@ class _Numbers(dict):
 class WordTokenizer:
     """Holds at most about ``limit`` parts; beyond that it starts anew."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
