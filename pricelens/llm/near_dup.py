@@ -174,19 +174,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links like any other.
     """
     rows = cut_lineage(fingerprints(docs, id_col, text_col, width))
-    nodes = cut_lineage(rows.groupBy("fp").agg(
+    nodes = first_rows(rows)
+    return place(rows, nodes, link_forest(nodes.select("fp"))).select(
+        F.col("doc").alias(id_col), "row_key", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("first.doc").alias("component_id"), "representative",
+    )
+
+
+def first_rows(rows: DataFrame) -> DataFrame:
+    """fp and ``least``, the first of its rows (doc, row_key); null ids come last."""
+    return cut_lineage(rows.groupBy("fp").agg(
         F.min(F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("row_key").alias("row_key"))).alias("least")
     ))
-    hung = connected_components(link_forest(nodes.select("fp")))
+
+
+def place(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows with ``first``, their component's first row, and ``representative``;
+    ``nodes`` are their ``first_rows``, edges a, b connect values of fp."""
+    hung = connected_components(edges)
     rooted = nodes.join(hung, nodes["fp"] == hung["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("first"))
     placed = cut_lineage(rooted.join(first, "root").select("fp", "first"))
-    return rows.join(placed, "fp").select(
-        F.col("doc").alias(id_col), "row_key", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.col("first.doc").alias("component_id"),
-        (F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("row_key") == F.col("first.row_key"))).alias("representative"),
-    )
+    return rows.join(placed, "fp").withColumn(
+        "representative", F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("row_key") == F.col("first.row_key")))
 
 
 def keep_rows(
