@@ -3,9 +3,9 @@
 Each text node has the path of tags from the root to it.  Per path, text length and
 punctuation are summed and divided by its nodes; the two ratios are smoothed with
 those of sibling paths, fused to one score and compared with a threshold.  Nodes on
-paths above it point out the content: the element that holds most of their text,
-the page's article where it has one, gives the blocks, short ones included.  Paths through
-menus, footers, adverts and the like score nothing.
+paths above it point out the content: the articles together where they hold most of
+the scored mass, else the deepest element that does, give the blocks, short ones
+included.  Paths through menus, footers, adverts and the like score nothing.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: deeper elements count as siblings, as in browsers
 DEPTH = 512
+#: share of the scored mass that articles, or a block, must hold to be the content
+MOST = 0.7
 
 
 @dataclass
@@ -158,7 +160,7 @@ def path_scores(nodes: list[Node], above: list[int]) -> dict[int, float]:
 
 
 def main_text(page: str | None, threshold: float = 0.5) -> str:
-    """The article's blocks, white space inside each turned to one space, joined by
+    """The content's blocks, white space inside each turned to one space, joined by
     line feeds; empty without any text.  ``threshold`` times the mean score, weighted
     by text, is what a path needs to count as content."""
     nodes, above = text_nodes(page or "")
@@ -189,13 +191,14 @@ def main_text(page: str | None, threshold: float = 0.5) -> str:
         return [s for s, e in by_serial.items() if e.tag == tag and tag not in e.parent.within]
 
     named = outer("article") or outer("main")
-    if named:
-        chosen = max(named, key=lambda s: (holds[s], -s))
+    if named and sum(holds[s] for s in named) >= MOST * total:
+        chosen = set(named)
     else:  # the deepest block that holds most of the content
-        chosen = max((s for s, e in by_serial.items() if holds[s] >= 0.7 * total and (e.tag in BLOCKS - {"p"} | {""} or e.tag in HEADINGS)),
-                     key=lambda s: (depth[s], holds[s]))
-        while by_serial[chosen].tag in HEADINGS or by_serial[chosen].tag in ("li", "td", "blockquote"):
-            chosen = by_serial[chosen].parent.serial
+        most = max((s for s, e in by_serial.items() if holds[s] >= MOST * total and (e.tag in BLOCKS - {"p"} | {""} or e.tag in HEADINGS)),
+                   key=lambda s: (depth[s], holds[s]))
+        while by_serial[most].tag in HEADINGS or by_serial[most].tag in ("li", "td", "blockquote"):
+            most = by_serial[most].parent.serial
+        chosen = {most}
     blocks: dict[int, list[str]] = defaultdict(list)
     for n in nodes:
         if n.element.around or not _under(n.element, chosen):
@@ -207,9 +210,9 @@ def main_text(page: str | None, threshold: float = 0.5) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def _under(element: Element | None, serial: int) -> bool:
+def _under(element: Element | None, serials: set[int]) -> bool:
     while element is not None:
-        if element.serial == serial:
+        if element.serial in serials:
             return True
         element = element.parent
     return False

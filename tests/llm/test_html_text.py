@@ -46,6 +46,17 @@ def test_article_header_and_comments_inside_the_article():
     assert main_text(page) == "Head\n" + (LONG * 2).strip()
 
 
+def test_several_articles_are_joined():
+    page = "<body>" + "".join(f"<article><p>{x} {LONG * n}</p></article>" for x, n in [("A", 3), ("B", 2), ("C", 4)]) + "</body>"
+    assert main_text(page) == "\n".join(f"{x} {LONG * n}".strip() for x, n in [("A", 3), ("B", 2), ("C", 4)])
+
+
+def test_text_beside_teaser_articles():
+    teasers = f"<article><p>Teaser, {LONG * 5}</p></article>"
+    body = f"<div class=text><p>{LONG * 9}</p><p>{LONG * 8}</p></div>"
+    assert main_text(f"<body>{body}<div>{teasers}</div></body>") == "\n".join([(LONG * 9).strip(), (LONG * 8).strip()])
+
+
 @pytest.mark.parametrize("page", ["", None, "   ", "<html></html>", "<nav>Home</nav>", "<script>x", "<!-- x", "<p", "<"])
 def test_pages_without_text(page):
     assert main_text(page) == ""
