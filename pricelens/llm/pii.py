@@ -54,11 +54,18 @@ _UNIT = re.compile(rf"plus|{_NUMBER}|[0-9]", re.I)
 
 _IN_AT, _IN_DOT = (rf"[ \t]*(?:\([ ]?{w}[ ]?\)|\[[ ]?{w}[ ]?\]|\{{[ ]?{w}[ ]?\}}|<[ ]?{w}[ ]?>)[ \t]*" for w in ("at", "dot"))
 _DISGUISED = re.compile(
-    r"(?P<local>[A-Za-z0-9._%+-]{1,64})(?P<at>" + _IN_AT + r"| at |@| @ ?|@ )"
+    rf"(?P<local>(?:[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{{0,63}}(?:{_IN_DOT}| dot )){{0,8}}[A-Za-z0-9._%+-]{{1,64}})(?P<at>" + _IN_AT + r"| at |@| @ ?|@ )"
     rf"(?P<rest>[A-Za-z0-9-]{{1,63}}(?:(?:\.|{_IN_DOT}| dot )[A-Za-z0-9-]{{1,63}})+)", re.I)
+# Top-level domains that tell an address behind the word "at" from prose.
+_KNOWN_TOP = re.compile(
+    r"\.(?:com|org|net|edu|gov|mil|int|info|biz|io|co|dev|app|eu|uk|de|fr|es|it|nl|be|ch|at|pl|pt|se|no|dk|fi|ie|cz|gr|ru|ua|tr|jp|cn|kr|in|au|nz|ca|us|mx|br|ar|cl|za)\Z",
+    re.I)
 _DOT = re.compile(rf"{_IN_DOT}| dot ", re.I)
 _DOTTED_WORDS = re.compile(rf"[0-9]{{1,3}}(?:(?:{_IN_DOT}| dot )[0-9]{{1,3}}){{3}}", re.I)
-_HINT = re.compile(r"dot|[(\[{<] ?at ?[)\]}>]| @|@ ", re.I)
+_OCTET = rf"(?:{_NUMBER}|[0-9]{{1,3}})(?:[ -](?:{_NUMBER}|[0-9])){{0,2}}"
+_SPELLED_IP = re.compile(rf"\b{_OCTET}(?:(?:{_IN_DOT}| dot ){_OCTET}){{3}}\b", re.I)
+_OCTET_UNIT = re.compile(rf"{_IN_DOT}| dot |{_NUMBER}|[ -]", re.I)
+_HINT = re.compile(r"dot|[(\[{<] ?at ?[)\]}>]| @|@ | at [A-Za-z0-9-]+\.", re.I)
 
 
 def _luhn(digits: str) -> bool:
@@ -141,11 +148,17 @@ def _phrases(n: Normalised) -> None:
     if _HINT.search(n.text):
         for m in _DISGUISED.finditer(n.text):
             dots = [(m.start("rest") + d.start(), m.start("rest") + d.end(), ".") for d in _DOT.finditer(m["rest"])]
-            if m["at"].lower() == " at " and not dots:
-                continue  # "at" is a word unless a disguised dot follows
+            if m["at"].lower() == " at " and not dots and not (
+                    re.search(r"[A-Za-z]", m["local"]) and re.search(r"[0-9._]", m["local"].rstrip(".")) or _DOT.search(m["local"]) or _KNOWN_TOP.search(m["rest"])):
+                continue  # "at" is a word unless a disguised dot, a name of several parts or a known domain tells
+            edits += [(m.start("local") + d.start(), m.start("local") + d.end(), ".") for d in _DOT.finditer(m["local"])]
             edits += [(m.start("at"), m.end("at"), "@"), *dots]
         for m in _DOTTED_WORDS.finditer(n.text):
             edits += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _DOT.finditer(m[0])]
+        for m in _SPELLED_IP.finditer(n.text):
+            for u in _OCTET_UNIT.finditer(m[0]):
+                new = "." if "dot" in u[0].lower() else _NUMBERS.get(u[0].lower(), "")
+                edits.append((m.start() + u.start(), m.start() + u.end(), new))
     if _TWO_SPELLED.search(n.text):
         for m in _SPELLED.finditer(n.text):
             units = list(_UNIT.finditer(m[0]))

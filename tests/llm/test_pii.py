@@ -65,6 +65,26 @@ def test_disguises_map_back_to_their_source(text, kind, source):
     assert source not in pii.masked(text, pii.plain_spans(text) + found)
 
 
+@pytest.mark.parametrize("text,kind,source", [
+    ("write to john dot smith at example dot com now", "email", "john dot smith at example dot com"),
+    ("john [dot] q [dot] smith [at] example [dot] com", "email", "john [dot] q [dot] smith [at] example [dot] com"),
+    ("write to john.smith at example.com.", "email", "john.smith at example.com"),
+    ("john dot smith at mail.xyz ok", "email", "john dot smith at mail.xyz"),
+    ("write to joe at example.org now", "email", "joe at example.org"),
+    ("host one nine two dot one six eight dot zero dot one ok", "ip", "one nine two dot one six eight dot zero dot one"),
+    ("host one dot two dot three dot four ok", "ip", "one dot two dot three dot four"),
+])
+def test_disguised_dots_on_both_sides(text, kind, source):
+    found = pii.disguised_spans(text, pii.plain_spans(text))
+    assert (kind, source) in {(k, text[s:e]) for k, s, e in found}
+    assert pii.masked(text, found) == text.replace(source, f"[{kind.upper()}]")
+
+
+@pytest.mark.parametrize("text", ["We met at noon.Then home.", "a dot at the end. One", "one dot two dot three", "x" * 70 + " dot " * 3000])
+def test_words_at_and_dot_in_prose(text):
+    assert pii.disguised_spans(text, pii.plain_spans(text)) == []
+
+
 @pytest.mark.parametrize("text", [
     "We met at noon. Then home.", "one or two of them", "a dot and a line at the end", "Ελληνικά και Русский текст", "look at this (at) last",
     "seven eight nine", "né à l'été. Où est la mer", "1.2.3", "+1 2",
