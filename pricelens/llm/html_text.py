@@ -111,7 +111,10 @@ def text_nodes(page: str) -> tuple[list[Node], list[int]]:
             attrs = m["attrs"] or ""
             names = " ".join(next(x for x in a.groups("") if x) for a in _NAMED.finditer(attrs) if any(a.groups(""))) if "=" in attrs else ""
             parent = stack[-1]
-            around = parent.around or tag in AROUND_TAGS or (tag not in ("html", "body", "article", "main") and bool(names) and bool(AROUND.search(names)))
+            told = names
+            if names and (tag in HEADINGS or tag == "section"):  # their ids are anchors named after the topic
+                told = " ".join(next(x for x in a.groups("") if x) for a in _NAMED.finditer(attrs) if any(a.groups("")) and a[0][:2].lower() != "id")
+            around = parent.around or tag in AROUND_TAGS or (tag not in ("html", "body", "article", "main") and bool(told) and bool(AROUND.search(told)))
             if tag == "header" and "article" not in parent.within:
                 around = True
             serial += 1

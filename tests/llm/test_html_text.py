@@ -57,6 +57,11 @@ def test_text_beside_teaser_articles():
     assert main_text(f"<body>{body}<div>{teasers}</div></body>") == "\n".join([(LONG * 9).strip(), (LONG * 8).strip()])
 
 
+def test_anchor_ids_of_headings_and_sections_are_no_surroundings():
+    page = f"<article><h2 id='related-work'>Related work</h2><p>{LONG * 3}</p><section id=discussion><p>{LONG * 2}</p></section></article>"
+    assert main_text(page) == "\n".join(["Related work", (LONG * 3).strip(), (LONG * 2).strip()])
+
+
 @pytest.mark.parametrize("page", ["", None, "   ", "<html></html>", "<nav>Home</nav>", "<script>x", "<!-- x", "<p", "<"])
 def test_pages_without_text(page):
     assert main_text(page) == ""
