@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelens.session import staged
+
 #: what stands between words of visible characters: ASCII white space
 SPACED = r"[\x20\x09-\x0D]+"
 #: what stands between words of lower-case ASCII letters, digits and everything beyond ASCII
@@ -54,3 +56,20 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+#: Spark drops a query's shuffle files when it ends, where this is set
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """As ``session.staged``, and the shuffle files behind the table go once it is
+    written: nothing reads them again, and they would fill the disks until the driver
+    collects its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_DROP_SHUFFLES, "false")
+    conf.set(_DROP_SHUFFLES, "true")
+    try:
+        return staged(df)
+    finally:
+        conf.set(_DROP_SHUFFLES, before)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.llm import (
-    checks, chunk_dedup, decontaminate, html_text, license_scan, near_dup, packing, pii, quality_rules, shards, token_count,
+    centroids, checks, chunk_dedup, decontaminate, html_text, license_scan, merkle, near_dup, packing, pii, quality_rules, shards, token_count,
+    window_dedup,
 )
 from pricelens.llm.common import table, tokenizer_file
 from pricelens.session import configure, cut_lineage
@@ -99,3 +100,27 @@ def personal_data_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tag_path_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract_main_text(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.col("main_chars").alias("n_chars"))
+
+
+@query("op11_radix_windows", checks.repeated_windows())
+def radix_windows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes under repeated strings of 100 bytes removed."""
+    found = window_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_merkle_manifest", checks.merkle())
+def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five columns a leaf; a verifier sees every fifth text, by its id's checksum, in lower case."""
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.manifest(
+        table(spark, sf_dir, "documents"), seen={"text": merkle.ascii_lowered(F.col("text"))}, seen_where=changed)
+
+
+@query("op13_bisector_clusters", checks.centroids())
+def bisector_clusters_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 centroids, five rounds."""
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        "vec_id", "cluster", *(F.col(c).try_cast("bigint").alias(c) for c in ("distance", "cluster_inertia", "inertia")), "centroid_sha256")
