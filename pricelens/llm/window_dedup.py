@@ -198,10 +198,12 @@ def settle(rows: DataFrame, keys: list[str], classes: list[str]) -> tuple[DataFr
         F.min(F.struct(_place().alias("place"), "n", "at")).alias("first"), F.count("*").alias("times")))
     again = first.where("times > 1").select(*keys, *classes, F.col("first.place").alias("least"))
     settled, b = written(rows.join(again, [*keys, *classes]).where(_place() != F.col("least")).select("doc", "row_key", "start", "n"))
-    several = first.groupBy(*keys).count().where("count > 1").select(*keys)
-    open_rows, c = written(first.join(several, keys, "left_semi").select("first.place.doc", "first.place.row_key", "first.place.start", "first.n", "first.at"))
+    # written, because a join splits a hot key only where both sides come from plain exchanges
+    several, c = written(first.groupBy(*keys).count().where("count > 1").select(*keys))
+    open_rows, d = written(first.join(several, keys, "left_semi").select("first.place.doc", "first.place.row_key", "first.place.start", "first.n", "first.at"))
     discard(rows.sparkSession, a)
-    return settled, open_rows, [b, c]
+    discard(rows.sparkSession, c)
+    return settled, open_rows, [b, d]
 
 
 def _by_row(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -290,8 +292,10 @@ def remove_repeats(
     def keep(*found: str) -> None:
         folders.extend(found)
 
-    common = anchors(docs, id_col, text_col, width, gram).groupBy("anchor").count().where("count > 1").select(F.col("anchor").alias("key1"))
+    common, common_path = written(
+        anchors(docs, id_col, text_col, width, gram).groupBy("anchor").count().where("count > 1").select(F.col("anchor").alias("key1")))
     shared, path = written(all_stretches(docs, id_col, text_col, width, gram).join(common, "key1", "left_semi"))
+    discard(spark, common_path)
     settled, rest, found = settle(shared, ["key1"], ["class1", "class2"])
     keep(*found)
     discard(spark, path)
