@@ -18,6 +18,7 @@ from pricelens.operators import history as H
 from pricelens.operators import market as M
 from pricelens.operators import matching as X
 from pricelens.plans.blocking import keyword_hits, keyword_links
+from pricelens.plans.spelling import edit_links
 
 KEY = ["order_no", "line_no", "part_no", "supp_no"]
 CURHIST = "cur AS (SELECT * FROM obs WHERE status = 'O'), hist AS (SELECT * FROM obs WHERE status = 'F')"
@@ -393,6 +394,67 @@ def name_lookup(spark, sf):
     return X.lookup_names(current.select(F.col("item").alias("name")), known)
 
 
+# current names with one letter left out and one typed twice, as both engines write it
+_ONCE = "concat(substr(item, 1, 1 + ascii(item) % greatest(length(item) - 2, 1)), substr(item, 3 + ascii(item) % greatest(length(item) - 2, 1)))"
+_MISSPELT = "concat(substr(once, 1, 1 + length(once) % 7), substr(once, 1 + length(once) % 7))"
+_TYPED = f"""t AS (SELECT DISTINCT {_MISSPELT} AS l FROM (SELECT {_ONCE} AS once FROM cur)),
+        k AS (SELECT DISTINCT norm_name AS r FROM hist WHERE norm_name IS NOT NULL)"""
+_LOOKED_UP = f"""{_TYPED},
+        lw AS (SELECT DISTINCT l, unnest(regexp_split_to_array(lower(l), '\\s+')) AS w FROM t),
+        rw AS (SELECT DISTINCT r, unnest(regexp_split_to_array(lower(r), '\\s+')) AS w FROM k),
+        v AS (SELECT DISTINCT w FROM rw WHERE w <> ''), x AS (SELECT DISTINCT w FROM lw WHERE w <> '' AND w NOT IN (SELECT w FROM v)),
+        y AS (SELECT x.w, v.w AS fixed, levenshtein(x.w, v.w) AS e, greatest(length(x.w), length(v.w)) AS m FROM x, v),
+        f AS (SELECT w, fixed, e FROM y WHERE e <= floor(m * 0.25e0 + 1e-9)
+         QUALIFY row_number() OVER (PARTITION BY w ORDER BY 1 - e / m DESC, fixed) = 1),
+        c AS (SELECT l, coalesce(fixed, lw.w) AS w, min(coalesce(e, 0)) AS e FROM lw LEFT JOIN f USING (w) WHERE lw.w <> '' GROUP BY ALL),
+        a AS (SELECT l, sum(length(w)) AS a FROM c GROUP BY l), b AS (SELECT r, sum(length(w)) AS b FROM rw GROUP BY r),
+        s AS (SELECT l, r, sum(length(c.w) - e) AS c FROM c JOIN rw USING (w) GROUP BY l, r),
+        z AS (SELECT l, r, 100.0e0 * greatest(2 * c / (c + a), 2 * c / (c + b)) AS score FROM s JOIN a USING (l) JOIN b USING (r)),
+        found AS (SELECT l AS name, r AS known_name, {rnd('score', 1)} AS score FROM z WHERE score > 60
+         QUALIFY row_number() OVER (PARTITION BY l ORDER BY score DESC, r) = 1)"""
+
+
+def _misspelt(current):
+    return current.select(F.expr(_ONCE).alias("once")).select(F.expr(_MISSPELT).alias("name"))
+
+
+def _known(history):
+    return history.where("norm_name is not null").select(F.col("norm_name").alias("name"))
+
+
+@query("name_lookup_typos", with_obs(f"WITH {CURHIST}, {_LOOKED_UP} SELECT * FROM found"))
+def name_lookup_typos(spark, sf):
+    """Names with two typing errors each, found over the corrected words."""
+    current, history = current_and_history(spark, sf)
+    return X.lookup_names(_misspelt(current), _known(history), spelling=0.75)
+
+
+@query(
+    "price_seen_typos",
+    with_obs(f"""WITH {CURHIST}, {_LOOKED_UP},
+        p AS (SELECT norm_name AS known_name, count(*) AS times_seen, min(price) AS cheapest, {rnd(avg('price'))} AS avg_price FROM hist GROUP BY norm_name)
+        SELECT name, known_name, score, times_seen, cheapest, avg_price FROM found JOIN p USING (known_name)"""),
+)
+def price_seen_typos(spark, sf):
+    """Cheapest and mean price seen for the known name nearest to a misspelt one."""
+    current, history = current_and_history(spark, sf)
+    return X.seen_prices(X.lookup_names(_misspelt(current), _known(history), spelling=0.75), history)
+
+
+@query(
+    "name_spellings",
+    with_obs(f"""WITH {CURHIST}, {_TYPED},
+        y AS (SELECT l, r, levenshtein(l, r) AS e, greatest(length(l), length(r)) AS m FROM t, k
+         WHERE l <> '' AND r <> '' AND abs(length(l) - length(r)) <= floor(greatest(length(l), length(r)) * (1.0e0 - 0.85e0) + 1e-9))
+        SELECT l AS name, r AS known_name, e AS edits, 1 - e / m AS similarity FROM y WHERE e <= floor(m * (1.0e0 - 0.85e0) + 1e-9)"""),
+)
+def name_spellings(spark, sf):
+    """All known names that a misspelt one may stand for, by edit similarity of the whole names."""
+    current, history = current_and_history(spark, sf)
+    known = _known(history).withColumnRenamed("name", "known_name")
+    return edit_links(_misspelt(current), "name", known, "known_name", 0.85)
+
+
 @query(
     "price_seen",
     with_obs(f"""WITH {CURHIST} SELECT norm_name, min(price) AS cheapest, {rnd(avg('price'))} AS avg_price FROM hist

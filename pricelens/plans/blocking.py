@@ -19,11 +19,11 @@ from pricelens.session import cut_lineage
 SPLIT = 20_000
 
 
-def _salts(freq: Column) -> Column:
+def salts(freq: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(freq / SPLIT)).cast("int")
 
 
-def _salt_of(text: Column, salts: Column) -> Column:
+def salt_of(text: Column, salts: Column) -> Column:
     return F.pmod(F.xxhash64(text), salts).cast("int")
 
 
@@ -59,11 +59,11 @@ def substring_links(
         .groupBy("_p")
         .agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_g").alias("g"))).alias("c"))
         .where("c.f > 0")
-        .select("_p", F.col("c.g").alias("_g"), _salts(F.col("c.f")).alias("_s"))
+        .select("_p", F.col("c.g").alias("_g"), salts(F.col("c.f")).alias("_s"))
     )
     needed = chosen.select("_g", "_s").distinct()
     left = chosen.select("_p", "_g", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_salt"))
-    right = text_grams.join(needed, "_g").select("_t", "_g", _salt_of(F.col("_t"), F.col("_s")).alias("_salt"))
+    right = text_grams.join(needed, "_g").select("_t", "_g", salt_of(F.col("_t"), F.col("_s")).alias("_salt"))
     return (
         left.join(right, ["_g", "_salt"])
         .where(F.contains("_t", "_p"))
@@ -121,7 +121,7 @@ def keyword_links(left: DataFrame, terms: str, hits: DataFrame, needed: Callable
     keyed = cut_lineage(
         prefixes.select("_k", "_need", F.col("p.w").alias("_prefix"), F.explode("p").alias("e"))
         .where("e.f > 0")
-        .select("_k", "_need", "_prefix", F.col("e.w").alias("_w"), _salts(F.col("e.f")).alias("_s"))
+        .select("_k", "_need", "_prefix", F.col("e.w").alias("_w"), salts(F.col("e.f")).alias("_s"))
     )
     spread = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s")
     right = (
@@ -171,11 +171,11 @@ def overlap_links(
             *within, f"{p}_id", f"{p}_tokens", F.slice("o", F.lit(1), F.least(keep, n)).alias(f"{p}_pre")
         ).select("*", F.explode(f"{p}_pre").alias("e")).select(
             *within, f"{p}_id", f"{p}_tokens", F.col(f"{p}_pre.tok").alias(f"{p}_pre"),
-            F.col("e.tok").alias("tok"), _salts(F.col("e.f")).alias("_s"),
+            F.col("e.tok").alias("tok"), salts(F.col("e.f")).alias("_s"),
         )
 
     lp = prefixed(l, "l").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s")
-    rp = prefixed(r, "r").withColumn("_salt", _salt_of(F.col("r_id"), F.col("_s"))).drop("_s")
+    rp = prefixed(r, "r").withColumn("_salt", salt_of(F.col("r_id"), F.col("_s"))).drop("_s")
     shared = F.size(F.array_intersect("l_tokens", "r_tokens"))
     ratio = shared / (F.size("l_tokens") + F.size("r_tokens") - shared)
     pairs = lp.join(rp, [*within, "tok", "_salt"])
