@@ -82,40 +82,38 @@ def rank_probes(
     )
 
 
+def dealt_by_range(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows cut into stretches of the order, of about equal size, and written once.
+
+    ``_range`` numbers the stretches.  The cuts come from a sample of all ``order``
+    columns, so rows that agree in the first of them still spread over several
+    stretches; only rows equal in all of them share one.
+    """
+    return cut_lineage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+
+
 def positions(df: DataFrame, keys: Sequence[str], levels: Sequence[tuple[str, Column]], out: str = "pos") -> DataFrame:
-    """Number the rows of each key 1..n in the order of ``levels``.
+    """Number the rows of each key 1..n in the order of ``levels``, then of the other columns.
 
-    ``levels`` are (name, expression) pairs, coarse to fine; each must be
-    monotone with the wanted order inside its parent.  Rows equal in all
-    columns are interchangeable: they are counted once and expanded again at
-    the end, in chunks.  The result has the columns of ``df`` plus ``out``.
+    ``levels`` are (name, expression) pairs.  Rows equal in all columns are
+    interchangeable: they are counted once and expanded again at the end, in chunks.
+    The others are dealt by range, numbered inside a stretch, and the counts of the
+    stretches before are added, so no key, price or store is sorted in one task.  The
+    result has the columns of ``df`` plus ``out``.
     """
     keys, cols = _some(keys), df.columns
     names = [f"_l{i}" for i in range(len(levels))]
     rest = [c for c in cols if c not in keys]
-    # both counted tables are read several times below: write them once
-    leaf = cut_lineage(
-        df.groupBy(*cols)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumns({n: expr for n, (_, expr) in zip(names, levels)})
-    )
-    units = cut_lineage(leaf.groupBy(*keys, *names).agg(F.sum("_n").alias("_n")))
-    offset = None
-    for depth in range(1, len(names) + 1):
-        prefix, level = keys + names[: depth - 1], names[depth - 1]
-        counted = units if depth == len(names) else units.groupBy(*prefix, level).agg(F.sum("_n").alias("_n"))
-        start = F.sum("_n").over(Window.partitionBy(*prefix).orderBy(level)) - F.col("_n")
-        if offset is None:
-            counted = counted.withColumn("_base", start)
-        else:
-            counted = null_safe_join(counted.withColumn("_own", start), offset, prefix).withColumn(
-                "_base", F.col("_base") + F.col("_own")
-            )
-        offset = counted.select(*prefix, level, "_base")
-    inside = Window.partitionBy(*keys, *names).orderBy(*rest)
-    placed = null_safe_join(leaf, offset, keys + names).withColumn(
-        "_from", F.col("_base") + F.sum("_n").over(inside) - F.col("_n")
-    )
+    leaf = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).withColumns({n: expr for n, (_, expr) in zip(names, levels)})
+    dealt = dealt_by_range(leaf, [*keys, *names, *rest])
+    # one row per key and stretch it reaches into
+    counts = dealt.groupBy(*keys, "_range").agg(F.sum("_n").alias("_w"))
+    before = Window.partitionBy(*keys).orderBy("_range")
+    starts = counts.select(*keys, "_range", (F.sum("_w").over(before) - F.col("_w")).alias("_base"))
+    inside = Window.partitionBy("_range", *keys).orderBy(*names, *rest).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = null_safe_join(
+        dealt.withColumn("_own", F.sum("_n").over(inside) - F.col("_n")), starts, [*keys, "_range"]
+    ).withColumn("_from", F.col("_base") + F.col("_own"))
     # the copies of one row are numbered in chunks, so no array grows with the data
     chunked = placed.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / CHUNK))))
     size = F.least(F.lit(CHUNK), F.col("_n") - F.col("_chunk") * CHUNK).cast("int")

@@ -90,6 +90,32 @@ def test_positions_are_a_permutation_in_order(spark, monkeypatch):
         assert [m[1:] for m in mine] == sorted((v, s) for k, v, s in rows if k == key)
 
 
+def test_one_name_price_and_store_spreads_over_many_stretches(spark):
+    """A third of the rows agree in key, price and store; no stretch holds more than its share."""
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(24_000).select(
+            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("n"), F.col("id") % 500)).alias("name"),
+            F.when(F.col("id") % 3 == 0, 2.5).otherwise(F.col("id") % 90 / 10).alias("price"),
+            F.when(F.col("id") % 3 == 0, "s").otherwise((F.col("id") % 7).cast("string")).alias("store"), F.col("id").alias("line"),
+        )
+        order = ["name", "price", "store", "line"]
+        sizes = [r["count"] for r in ranking.dealt_by_range(rows, order).groupBy("_range").count().collect()]
+        assert sum(sizes) == 24_000 and len(sizes) >= 20 and max(sizes) <= 3 * 24_000 / 24
+        got = ranking.positions(rows, ["name"], [("price", F.col("price")), ("store", F.col("store"))]).where("name = 'hot'").collect()
+        assert sorted((r["line"], r["pos"]) for r in got) == [(3 * i, i + 1) for i in range(8000)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_positions_of_null_keys_and_values(spark):
+    df = spark.createDataFrame([(None, 1.0, "a"), (None, None, "b"), (None, 1.0, "a"), ("k", 2.0, None)], "k string, v double, w string")
+    got = sorted((r["k"] or "", r["pos"], r["w"]) for r in ranking.positions(df, ["k"], [("value", F.col("v"))]).collect())
+    assert got == [("", 1, "b"), ("", 2, "a"), ("", 3, "a"), ("k", 1, None)]
+
+
 def test_rank_probes_and_running_counts(spark):
     rows, df = skewed(spark)
     counted = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
