@@ -327,17 +327,21 @@ def stream_ingest(spark, sf):
     return archive.select("event_id", "store", "item", "price", F.col("obs_date").cast("string").alias("obs_date"))
 
 
+def _event_files(spark, sf):
+    """The events landed in eight files, three a micro-batch."""
+    folder = new_path(spark, "landed")
+    events = table(spark, sf, "events")
+    events.repartition(8, "event_id").write.parquet(folder)
+    return _event_rows(ST.read_stream(spark, folder, events.schema, files_per_batch=3))
+
+
 @query(
     "stream_ingest_files",
     f"WITH {_EV} SELECT DISTINCT cast(obs_date as varchar) AS obs_date, store, item, price FROM ev",
 )
 def stream_ingest_files(spark, sf):
     """The events in eight files, three a micro-batch; what the archive holds does not depend on that."""
-    folder = new_path(spark, "landed")
-    events = table(spark, sf, "events")
-    events.repartition(8, "event_id").write.parquet(folder)
-    stream = _event_rows(ST.read_stream(spark, folder, events.schema, files_per_batch=3))
-    archive = ST.ingest(stream, new_path(spark, "archive"), [F.col("event_id")])
+    archive = ST.ingest(_event_files(spark, sf), new_path(spark, "archive"), [F.col("event_id")])
     return archive.select(F.col("obs_date").cast("string").alias("obs_date"), "store", "item", "price")
 
 
@@ -351,6 +355,17 @@ def stream_dedup(spark, sf):
     return kept.withColumn("obs_date", F.col("obs_date").cast("string"))
 
 
+@query(
+    "stream_dedup_files",
+    f"WITH {_EV} SELECT DISTINCT cast(obs_date as varchar) AS obs_date, store, item FROM ev",
+)
+def stream_dedup_files(spark, sf):
+    """As stream_dedup over several micro-batches, so the state of earlier ones decides."""
+    rows = ST.deduplicated(_event_files(spark, sf), ["obs_date", "store", "item"], None)
+    kept = ST.appended_rows(rows.select("obs_date", "store", "item"))
+    return kept.withColumn("obs_date", F.col("obs_date").cast("string"))
+
+
 def _window_sql(length: int, slide: int) -> str:
     """Windows start at multiples of the slide since the epoch."""
     n = length // slide
@@ -374,7 +389,9 @@ def stream_weekly_stats(spark, sf):
 
 @query("stream_lookback_stats", _window_sql(180, 7))
 def stream_lookback_stats(spark, sf):
-    return _window_rows(spark, sf, "180 days", "7 days")
+    """180 days every week: the stream keeps panes, the windows are put together from them."""
+    panes = ST.upserted_rows(ST.pane_stats(_event_files(spark, sf), ["store"], 180, 7, None), ["store", "slide_start", "tail"])
+    return ST.merge_panes(panes, ["store"], 180, 7).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
 @query(

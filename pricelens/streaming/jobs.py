@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from pricelens.functions.numbers import exact_avg, half_up
+from pricelens.functions.numbers import MONEY_STEPS, as_steps, exact_avg, half_up
 from pricelens.operators.dedupe import dedupe
 from pricelens.session import new_path
 from pricelens.sources.tables import append_archive_table
@@ -89,6 +89,44 @@ def window_stats(
     )
 
 
+def pane_stats(
+    stream: DataFrame, keys: Sequence[str], length_days: int, slide_days: int, lateness: str | None, time: str = "ts"
+) -> DataFrame:
+    """Mergeable partial statistics for windows of ``length_days`` every ``slide_days``.
+
+    A slide is cut where windows end in it, so every window is a whole number of
+    panes and a row belongs to exactly one: (keys, slide_start, tail), the tail being
+    the part behind the cut.  ``lateness`` as in ``deduplicated``.
+    """
+    marked = _marked(stream, time, lateness).withColumn("_w", F.window(time, f"{slide_days} days"))
+    cut = F.col("_w.start") + F.make_interval(days=F.lit(length_days % slide_days))
+    return (
+        marked.groupBy(*keys, "_w", (F.col(time) >= cut).alias("tail"))
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.min("price").alias("low"), F.max("price").alias("high"),
+            F.sum(as_steps(F.col("price"))).alias("steps"), F.count("price").alias("priced"),
+        )
+        .select(*keys, F.col("_w.start").alias("slide_start"), "tail", "n", "low", "high", "steps", "priced")
+    )
+
+
+def merge_panes(panes: DataFrame, keys: Sequence[str], length_days: int, slide_days: int) -> DataFrame:
+    """The sliding windows' statistics, as ``window_stats`` gives them, from finished panes.
+
+    Panes are spread over the windows that hold them, rows never are: what is
+    spread has at most two entries per key and slide, whatever the number of rows.
+    """
+    whole = length_days // slide_days
+    # with a remainder, the part before the cut also closes the window that starts one slide earlier
+    reach = F.when(F.lit(length_days % slide_days > 0) & ~F.col("tail"), whole).otherwise(whole - 1)
+    spread = panes.withColumn("_back", F.explode(F.sequence(F.lit(0), reach)))
+    start = F.col("slide_start") - F.make_interval(days=F.col("_back") * slide_days)
+    return spread.groupBy(*keys, start.alias("window_start")).agg(
+        F.sum("n").alias("n"), F.min("low").alias("min_price"), F.max("high").alias("max_price"),
+        half_up(F.sum("steps") / F.nullif(F.sum("priced"), F.lit(0)) / F.lit(float(MONEY_STEPS)), 2).alias("avg_price"),
+    )
+
+
 def latest_price(stream: DataFrame, keys: Sequence[str], time: str = "ts") -> DataFrame:
     """Last price, its time and the number of sightings per key."""
     last = F.max(F.struct(F.col(time), F.col("price"))).alias("s")

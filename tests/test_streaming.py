@@ -69,3 +69,24 @@ def test_rows_beyond_the_lateness_bound_are_dropped(spark, tmp_path):
     kept = ST.appended_rows(ST.deduplicated(stream(spark, folder, batch), keys, "7 days").select(*keys)).collect()
     assert any(r.store == "s0" and r.obs_date == now.date() for r in kept)
     assert not any(r.store == "s9" for r in kept)
+
+
+def test_panes_merge_to_the_sliding_windows(spark, tmp_path):
+    folder, batch = landed(spark, tmp_path)
+    batch = batch.unionByName(spark.createDataFrame([(900, START + timedelta(days=40), "s0", "i0", None, START.date())], SCHEMA))
+    folder = str(tmp_path / "more")
+    batch.repartition(5, "event_id").write.parquet(folder)
+    for length, slide in ((17, 7), (14, 7), (5, 5), (180, 7)):
+        panes = ST.pane_stats(stream(spark, folder, batch), ["store"], length, slide, None)
+        got = ST.merge_panes(ST.upserted_rows(panes, ["store", "slide_start", "tail"]), ["store"], length, slide)
+        want = ST.window_stats(batch, ["store"], f"{length} days", None, f"{slide} days")
+        key = lambda df: sorted(map(repr, df.select("store", "window_start", "n", "min_price", "max_price", "avg_price").collect()))
+        assert key(got) == key(want)
+
+
+def test_a_row_touches_one_pane(spark):
+    batch = spark.createDataFrame([r for b in batches() for r in b], SCHEMA)
+    panes = ST.pane_stats(batch, ["store"], 180, 7, None)
+    assert panes.agg(F.sum("n")).first()[0] == batch.count()
+    assert "Expand" not in panes._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" in ST.window_stats(batch, ["store"], "180 days", None, "7 days")._jdf.queryExecution().executedPlan().toString()
