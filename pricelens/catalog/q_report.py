@@ -15,6 +15,7 @@ from pricelens.catalog.tables import AS_OF, TIE, current_and_history, observatio
 from pricelens.functions import score as SC
 from pricelens.functions import vocab
 from pricelens.functions.numbers import half_up
+from pricelens.operators import deals as D
 from pricelens.operators import history as H
 from pricelens.operators import market as M
 from pricelens.operators import report as R
@@ -288,6 +289,51 @@ def item_detail(spark, sf):
     )
 
 
+_MATCHED = """dt.how = 'exact' AND h.norm_name = dt.norm_name
+      OR dt.how = 'keywords' AND len(list_filter(b.kws, lambda x: contains(h.txt, x))) >= greatest(2, cast(floor(len(b.kws) * 0.6e0) as int))"""
+_SHOWN = f"b.item = dt.item AND b.norm_name IS NOT DISTINCT FROM dt.norm_name JOIN h ON ({_MATCHED})"
+
+
+@query(
+    "detail_last_sale",
+    with_obs(f"""WITH {_DETAIL}, h AS (SELECT {_TXT} AS txt, norm_name, max({{'d': obs_date, 'p': price, 's': store}}) AS s FROM hist
+        WHERE obs_date < DATE '{AS_OF}' GROUP BY ALL),
+        m AS (SELECT dt.item, dt.norm_name, dt.how, max(h.s) AS s FROM dt JOIN b ON {_SHOWN} GROUP BY ALL)
+        SELECT item, norm_name, how, cast(s.d as varchar) AS last_date, s.p AS last_price, s.s AS last_store,
+        cast(DATE '{AS_OF}' - s.d as bigint) AS days_ago FROM m"""),
+)
+def detail_last_sale(spark, sf):
+    """Last sighting in the matched set of every current name."""
+    current, history = current_and_history(spark, sf)
+    return H.last_matched_sale(current, history, LAST_DAY).withColumn("last_date", F.col("last_date").cast("string"))
+
+
+@query(
+    "detail_history",
+    with_obs(f"""WITH {_DETAIL}, t AS (SELECT DISTINCT item, norm_name FROM (SELECT * FROM cur ORDER BY deal_score DESC, {TIES} LIMIT 20)),
+        h AS (SELECT {_TXT} AS txt, norm_name, obs_date, store, price, count(*) AS n FROM hist GROUP BY ALL),
+        m AS (SELECT dt.item, dt.norm_name, dt.how, h.obs_date, h.store, h.price, cast(sum(h.n) as bigint) AS n FROM dt
+          JOIN t ON t.item = dt.item AND t.norm_name IS NOT DISTINCT FROM dt.norm_name JOIN b ON {_SHOWN} GROUP BY ALL)
+        SELECT item, norm_name, how, cast(obs_date as varchar) AS obs_date, store, price, n,
+        row_number() OVER (PARTITION BY item, norm_name ORDER BY obs_date, price, store) AS pos FROM m"""),
+)
+def detail_history(spark, sf):
+    """Price history behind the twenty best current offers, the ones a list's first page opens."""
+    current, history = current_and_history(spark, sf)
+    shown = D.top(current, D.sort_order("score_desc", TIE), 20)
+    return H.matched_history(shown, history).withColumn("obs_date", F.col("obs_date").cast("string"))
+
+
+@query(
+    "detail_ladder",
+    with_obs(f"""WITH {CURHIST}, m AS (SELECT norm_name, store, min(price) AS price FROM cur WHERE trim(norm_name) <> '' GROUP BY ALL)
+        SELECT norm_name, store, price, row_number() OVER (PARTITION BY norm_name ORDER BY price, store) AS rank FROM m"""),
+)
+def detail_ladder(spark, sf):
+    """This week's stores of every current name by their lowest price."""
+    return M.price_ladder(current_and_history(spark, sf)[0], "norm_name")
+
+
 # --- report context and reports --------------------------------------------------
 _CTX_PROBE = ["item", "price", "per_100g_corrected", "unit_price"]
 _CONTEXT = f"""cx AS (SELECT *, {COUNTER} AS per_100g_corrected FROM obs WHERE status = 'O'),

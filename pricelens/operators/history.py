@@ -15,7 +15,7 @@ from pricelens.operators.filters import within_days
 from pricelens.operators.market import prefix_market
 from pricelens.plans.blocking import keyword_hits, keyword_links, substring_links
 from pricelens.plans.joins import null_safe_join
-from pricelens.plans.ranking import exact_median, rank_probes, top_rows
+from pricelens.plans.ranking import exact_median, positions, rank_probes, top_rows
 from pricelens.session import cut_lineage
 
 NAME = ["item", "norm_name"]
@@ -278,6 +278,39 @@ def item_detail(current: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
+def matched_history(current: DataFrame, history: DataFrame) -> DataFrame:
+    """The history behind every current name's detail view: item, norm_name, how,
+    obs_date, store, price, n (equal sightings) and pos, from 1 by day, price and store.
+
+    Rows are as many as each name's match has, so callers pass the names they show.
+    """
+    picked, links, sets = detail_matches(current, history)
+    sightings = history.groupBy(*NAME, "obs_date", "store", "price").agg(F.count(F.lit(1)).alias("n"))
+    facts = ["obs_date", "store", "price", "n"]
+    exact = picked.where("how = 'exact'").select(*NAME, "how", "mkey").join(
+        sightings.where(F.col("norm_name").isNotNull()).select(F.col("norm_name").alias("mkey"), *facts), "mkey")
+    by_set = sightings.withColumn("txt", search_text(sightings)).join(sets, "txt").select("mid", *facts)
+    fuzzy = picked.where("how = 'keywords'").select(*NAME, "how", "mkey").join(links, "mkey").join(by_set, "mid").drop("mid")
+    rows = exact.unionByName(fuzzy).groupBy(*NAME, "how", "obs_date", "store", "price").agg(F.sum("n").alias("n"))
+    return positions(rows, NAME, [(c, F.col(c)) for c in ("obs_date", "price", "store")])
+
+
+def last_matched_sale(current: DataFrame, history: DataFrame, as_of: date) -> DataFrame:
+    """Last sighting before a day in every current name's matched set: date, price,
+    store and days since.  Sets bring their last sighting only, not their rows."""
+    picked, links, sets = detail_matches(current, history)
+    last = F.max("s").alias("s")
+    past = history.where(F.col("obs_date") < F.lit(as_of)).groupBy(*NAME).agg(F.max(F.struct("obs_date", "price", "store")).alias("s"))
+    exact = past.where(F.col("norm_name").isNotNull()).groupBy(F.col("norm_name").alias("mkey")).agg(last)
+    per_set = past.withColumn("txt", search_text(past)).join(sets, "txt").groupBy("mid").agg(last)
+    fuzzy = links.join(per_set, "mid").groupBy("mkey").agg(last)
+    found = exact.withColumn("how", F.lit("exact")).unionByName(fuzzy.withColumn("how", F.lit("keywords")))
+    return picked.join(found, ["how", "mkey"]).select(
+        *NAME, "how", F.col("s.obs_date").alias("last_date"), F.col("s.price").alias("last_price"), F.col("s.store").alias("last_store"),
+        F.datediff(F.lit(as_of), "s.obs_date").cast("bigint").alias("days_ago"),
+    )
+
+
 def prefix_stats(
     current: DataFrame, history: DataFrame, prefix: int = 30, min_rows: int = 2
 ) -> DataFrame:

@@ -220,12 +220,24 @@ def confidence_bands(df: DataFrame) -> DataFrame:
 
 
 def list_metrics(df: DataFrame, score: str = "ai_score") -> DataFrame:
-    """Figures above a filtered list."""
-    return df.agg(
-        _one().alias("n_deals"), half_up(exact_avg(F.col("price")), 2).alias("avg_price"),
-        F.count_if(F.col(score) >= 70).alias("top_deals"), half_up(exact_avg(F.col(score)), 0).alias("avg_score"),
-        F.count_distinct("item").alias("n_items"), F.count_distinct("store").alias("n_stores"),
+    """Figures above a filtered list.  Rows are counted per (item, store) once, and the
+    distinct counts come from those counts, so rows are not multiplied by the columns."""
+    steps = lambda c: F.sum(as_steps(F.col(c)))
+    pairs = df.groupBy("item", "store").agg(
+        _one().alias("n"), F.count_if(F.col(score) >= 70).alias("top"),
+        *(f(c).alias(f"{name}_{c}") for c in ("price", score) for name, f in (("sum", steps), ("count", F.count))),
+    )
+    items = pairs.groupBy("item").agg(*(F.sum(c).alias(c) for c in pairs.columns if c not in ("item", "store")))
+    mean = lambda c: F.sum(f"sum_{c}") / F.nullif(F.sum(f"count_{c}"), F.lit(0)) / F.lit(float(MONEY_STEPS))
+    figures = items.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_deals"), half_up(mean("price"), 2).alias("avg_price"),
+        F.coalesce(F.sum("top"), F.lit(0)).alias("top_deals"), half_up(mean(score), 0).alias("avg_score"),
+        F.count("item").alias("n_items"),
     )
+    stores = pairs.select("store").distinct().agg(F.count("store").alias("n_stores"))
+    # one row each, put together without a join
+    both = figures.unionByName(stores, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def savings_summary(df: DataFrame) -> DataFrame:

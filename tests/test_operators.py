@@ -231,3 +231,37 @@ def test_appends_and_lookbacks_read_their_months_only(spark, tmp_path):
     before = {r.obs_month: r.n for r in spark.read.parquet(path).groupBy("obs_month").agg(F.count("*").alias("n")).collect()}
     TB.append_archive_table(spark, path, spark.createDataFrame(rows_[:5] + [(date(2025, 1, 4), "B", "x", 2.0, 9)], kind), [F.col("order_no")])
     assert spark.read.parquet(path).count() == 61 and len(before) == 12
+
+
+def test_detail_history_and_last_sale_follow_the_match(spark):
+    from datetime import date
+
+    from pricelens.operators import history as H
+
+    kind = "item string, norm_name string, store string, price double, unit_price double, unit_type string, obs_date date"
+    day = lambda n: date(2026, 1, n)
+    past = [
+        ("Ripe Tomato Vine", "tomato", "a", 2.0, None, None, day(3)), ("Ripe Tomato Vine", "tomato", "a", 2.0, None, None, day(3)),
+        ("Tomato Vine Red", "tomato", "b", 1.5, None, None, day(9)), ("Cherry Tomato Vine Box", "cherry", "c", 3.0, None, None, day(5)),
+        ("Other", None, "c", 9.0, None, None, day(1)),
+    ]
+    now = [("Tomato Vine", "tomato", "a", 2.5, None, None, day(20)), ("Cherry Tomato Box", "none", "a", 2.5, None, None, day(20)),
+           ("Missing Thing", None, "a", 1.0, None, None, day(20))]
+    current, history = spark.createDataFrame(now, kind), spark.createDataFrame(past, kind)
+    rows = [tuple(r) for r in H.matched_history(current, history).orderBy("item", "pos").collect()]
+    # three rows of the exact name; the other name is found by its words only
+    assert [(r[0], r[2], r[3].day, r[4], r[5], r[6], r[7]) for r in rows] == [
+        ("Cherry Tomato Box", "keywords", 5, "c", 3.0, 1, 1),
+        ("Tomato Vine", "exact", 3, "a", 2.0, 2, 1), ("Tomato Vine", "exact", 9, "b", 1.5, 1, 2),
+    ]
+    last = {r["item"]: (r["last_date"], r["last_price"], r["last_store"], r["days_ago"]) for r in H.last_matched_sale(current, history, day(9)).collect()}
+    assert last["Tomato Vine"] == (day(3), 2.0, "a", 6) and "Missing Thing" not in last
+
+
+def test_list_metrics_without_expanding_rows(spark):
+    from pricelens.operators import summary as S
+
+    df = spark.createDataFrame([("x", "a", 2.0, 80), ("x", "b", 4.0, 10), (None, "a", None, None)], "item string, store string, price double, ai_score int")
+    assert tuple(S.list_metrics(df).first()) == (3, 3.0, 1, 45.0, 1, 2)
+    assert tuple(S.list_metrics(df.limit(0)).first()) == (0, None, 0, None, 0, 0)
+    assert "Expand" not in S.list_metrics(df)._jdf.queryExecution().executedPlan().toString()
