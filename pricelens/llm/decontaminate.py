@@ -8,7 +8,8 @@ ones.  Tiles may stand in any order, so reordered passages are found; the item's
 covered share decides.
 
 A match of ``min_match`` words or more consists of seeds, so the seeds of a pair are
-all that tiling needs of the document: its words are rebuilt from the item's.
+all that tiling needs of the document: its words are rebuilt from the item's.  An item
+of fewer words has one seed, its whole word sequence, and must be held whole.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelens.llm.common import ALNUM, ascii_lower, row_key, words
@@ -103,35 +104,57 @@ def _rebuilt(seeds: list[tuple[int, int]], item: list[int], min_match: int) -> t
 
 
 def seed_table(benchmark: DataFrame, item_col: str, text_col: str, min_match: int) -> DataFrame:
-    """item_id, n_item, ipos, gram, seed_words: every run of ``min_match`` words of each item."""
+    """item, item_words, ipos, size, gram, seed_words: every run of ``min_match`` words
+    of each item, or its whole word sequence where that is shorter."""
     tokens = benchmark.select(F.col(item_col).alias("item"), words(ascii_lower(F.col(text_col)), ALNUM).alias("w")).select(
-        "item", "w", F.posexplode("w").alias("ipos", "word"))
-    return tokens.where(F.col("ipos") + min_match <= F.size("w")).select(
-        "item", F.col("w").alias("item_words"), "ipos",
-        F.xxhash64(*(F.get("w", F.col("ipos") + k) for k in range(min_match))).alias("gram"),
-        F.slice("w", F.col("ipos") + 1, min_match).alias("seed_words"),
+        "item", "w", F.least(F.size("w"), F.lit(min_match)).alias("size"), F.posexplode("w").alias("ipos", "word"))
+    return tokens.where(F.col("ipos") + F.col("size") <= F.size("w")).select(
+        "item", F.col("w").alias("item_words"), "ipos", "size", _gram(min_match).alias("gram"),
+        F.slice("w", F.col("ipos") + 1, F.col("size")).alias("seed_words"),
     )
 
 
+def _gram(min_match: int, place: str = "ipos") -> Column:
+    """Hash of the ``size`` words from ``place`` on; a run's hash depends on its size, too."""
+    runs = [F.xxhash64(*(F.get("w", F.col(place) + k) for k in range(n))) for n in range(1, min_match + 1)]
+    return F.coalesce(*(F.when(F.col("size") == n, run) for n, run in enumerate(runs, 1)))
+
+
 def seed_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, min_match: int) -> DataFrame:
-    """One row per document and item that share a seed: doc, row_key, item, item_words, seeds."""
+    """One row per document and item that share a seed: doc, row_key, item, item_words, seeds.
+
+    Documents are cut into runs of the sizes the items have: ``min_match``, and a
+    shorter one only if an item is that short.
+    """
     seeds = cut_lineage(seed_table(benchmark, item_col, item_text_col, min_match))
-    small = seeds.count() <= BROADCAST_SEEDS
+    told = seeds.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("size")).alias("sizes")).first()
+    small, sizes = told["n"] <= BROADCAST_SEEDS, told["sizes"] or [min_match]
     tokens = docs.select(
         F.col(id_col).alias("doc"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"),
         words(ascii_lower(F.col(text_col)), ALNUM).alias("w"),
     ).select("doc", "row_key", "w", F.posexplode("w").alias("pos", "word"))
-    runs = tokens.where(F.col("pos") + min_match <= F.size("w")).select(
-        "doc", "row_key", "pos", F.xxhash64(*(F.get("w", F.col("pos") + k) for k in range(min_match))).alias("gram"),
-        *(F.get("w", F.col("pos") + k).alias(f"w{k}") for k in range(min_match)),
-    )
-    probe = seeds.select("item", "ipos", "gram", "seed_words")
-    same_words = (runs["gram"] == probe["gram"])
-    for k in range(min_match):
-        same_words = same_words & (runs[f"w{k}"] == F.get(probe["seed_words"], k))
+    if len(sizes) == 1:
+        sized, gram = tokens.withColumn("size", F.lit(sizes[0])), F.xxhash64(*(F.get("w", F.col("pos") + k) for k in range(sizes[0])))
+    else:
+        sized, gram = tokens.withColumn("size", F.explode(F.array(*(F.lit(n) for n in sizes)))), _gram(min_match, "pos")
+
+    def word(k: int, held: Column) -> Column:  # no word is empty, so this stands for none
+        return held if k < sizes[0] else F.when(F.col("size") > k, held).otherwise("")
+
+    span = range(sizes[-1])
+    runs = sized.where(F.col("pos") + F.col("size") <= F.size("w")).select(
+        "doc", "row_key", "pos", gram.alias("gram"), *(word(k, F.get("w", F.col("pos") + k)).alias(f"w{k}") for k in span))
+    probe = seeds.select(
+        "item", "ipos", "size", F.col("gram").alias("seed"), *(word(k, F.get("seed_words", F.lit(k))).alias(f"s{k}") for k in span))
+    same_words = runs["gram"] == probe["seed"]
+    for k in span:
+        same_words = same_words & (runs[f"w{k}"] == probe[f"s{k}"])
     hits = runs.join(F.broadcast(probe) if small else probe.hint("merge"), same_words)
-    # a repeated row meets its own copies here, hence the set
-    pairs = hits.groupBy("doc", "row_key", "item").agg(F.collect_set(F.struct("pos", "ipos")).alias("seeds"))
+    # a repeated row meets its own copies here, hence the set; of a short item the first place tells all
+    pairs = hits.groupBy("doc", "row_key", "item").agg(
+        F.collect_set(F.when(F.col("size") == min_match, F.struct("pos", "ipos"))).alias("runs"),
+        F.array(F.struct(F.min("pos").alias("pos"), F.min("ipos").alias("ipos"))).alias("first"),
+    ).select("doc", "row_key", "item", F.when(F.size("runs") > 0, F.col("runs")).otherwise(F.col("first")).alias("seeds"))
     items = seeds.groupBy("item").agg(F.first("item_words").alias("item_words"))
     return pairs.join(F.broadcast(items) if small else items, pairs["item"].eqNullSafe(items["item"])).drop(items["item"])
 
@@ -145,28 +168,32 @@ def contaminated(
     first_word and last_word (the tiles' extent in the document, words from 0).
 
     Words are ASCII-lower-cased runs of letters, digits and characters beyond ASCII.
-    Null and empty texts and items of fewer than ``min_match`` words match nothing.
-    Items with equal texts are reported each; repeated document rows once.  Columns
+    An item of fewer than ``min_match`` words is found where a document holds all its
+    words in a row.  Null and empty texts and items match nothing.  Items with equal texts are reported each; repeated document rows once.  Columns
     besides those named are ignored.
     """
     pairs = seed_hits(docs, benchmark, id_col, text_col, item_col, item_text_col, min_match)
     kind = (f"doc {pairs.schema['doc'].dataType.simpleString()}, row_key bigint, item {pairs.schema['item'].dataType.simpleString()},"
             " n_words bigint, n_covered bigint, n_tiles bigint, first_word bigint, last_word bigint")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["n_words", "n_covered", "n_tiles", "first_word", "last_word"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc, key, item_id, seeds, item_words in zip(b["doc"], b["row_key"], b["item"], b["seeds"], b["item_words"]):
+            out: list[tuple[int, ...]] = []
+            for seeds, item_words in zip(b.column(3), b.column(4)):
                 code: dict[str, int] = {}
-                item = [code.setdefault(w, len(code) + 1) for w in item_words]
-                tokens, places = _rebuilt([(s["pos"], s["ipos"]) for s in seeds], item, min_match)
-                tiles = greedy_tiles(tokens, item, min_match)
-                out.append((doc, key, item_id, len(item), sum(t[2] for t in tiles), len(tiles),
+                item = [code.setdefault(w, len(code) + 1) for w in item_words.as_py()]
+                least = min(min_match, len(item))
+                tokens, places = _rebuilt([(s["pos"], s["ipos"]) for s in seeds.as_py()], item, least)
+                tiles = greedy_tiles(tokens, item, least)
+                out.append((len(item), sum(t[2] for t in tiles), len(tiles),
                             min(places[t[0]] for t in tiles), max(places[t[0] + t[2] - 1] for t in tiles)))
-            names = ["doc", "row_key", "item", "n_words", "n_covered", "n_tiles", "first_word", "last_word"]
-            yield pd.DataFrame(out, columns=names).astype({"doc": b["doc"].dtype, "item": b["item"].dtype})
+            counts = [pa.array([row[k] for row in out], pa.int64()) for k in range(len(names))]
+            # ids pass as they came, so a null beside them changes none
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *counts], ["doc", "row_key", "item", *names])
 
-    covered = pairs.select("doc", "row_key", "item", "seeds", "item_words").mapInPandas(run, kind)
+    covered = pairs.select("doc", "row_key", "item", "seeds", "item_words").mapInArrow(run, kind)
     return covered.withColumn("coverage", F.col("n_covered") / F.col("n_words")).where(F.col("coverage") >= min_coverage).select(
         F.col("doc").alias(id_col), "row_key", F.col("item").alias(item_col), "n_words", "n_covered", "n_tiles", "coverage",
         "first_word", "last_word",

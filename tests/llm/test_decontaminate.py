@@ -78,6 +78,32 @@ def test_shuffled_join_equals_broadcast(spark, monkeypatch):
     assert key() == small
 
 
+def test_short_items_are_found_where_held_whole(spark, monkeypatch):
+    rnd = random.Random(9)
+    items = [(1, "alpha beta"), (2, "gamma"), (3, "one two three four"), (4, passage(rnd, 30)), (5, "beta alpha"), (6, "alpha beta")]
+    docs = [(10, "x Alpha, beta! alpha beta", "x"), (11, "alpha x beta gammas", "x"), (12, "one two three", "x"), (13, "zero one two three four", "x"),
+            (14, items[3][1] + " gamma", "x"), (15, "gamma", "x"), (16, "one two three beta", "x")]
+    d, b = frames(spark, docs, [(*i, "x") for i in items])
+    plain = {i: t.lower().replace(",", "").replace("!", "").split() for i, t, _ in docs}
+    want = {(i, k) for i, w in plain.items() for k, t in items
+            if any(w[p:p + len(t.split())] == t.split() for p in range(len(w)))}
+    for bound in (200_000, 0):
+        monkeypatch.setattr(dc, "BROADCAST_SEEDS", bound)
+        got = {(r["doc_id"], r["item_id"]): r for r in dc.contaminated(d, b).collect()}
+        assert set(got) == want and all(r["coverage"] == 1 for r in got.values())
+        assert (got[10, 1]["first_word"], got[10, 1]["last_word"]) == (1, 2)
+    assert sorted(r["doc_id"] for r in dc.drop_contaminated(d, b).collect()) == [11, 12, 16]
+
+
+def test_large_ids_beside_null_ids_stay_exact(spark):
+    text = "one two three four five six seven"
+    ids = [None, 2**53 + 1, 2**62 + 3]
+    d, b = frames(spark, [(i, text, "x") for i in ids], [(k, text, "x") for k in ids])
+    found = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(d.coalesce(1), b.coalesce(1)).collect()}
+    assert found == {(i, k) for i in ids for k in ids}
+    assert dc.drop_contaminated(d, b).count() == 0
+
+
 def test_query_finds_every_verbatim_item(spark, texts):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     held = {(d, i) for d, t in texts.items() for i, x in items.items() if x in t}
