@@ -1,11 +1,13 @@
 import html
 import re
+import time
 
 import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pricelens.llm import html_text
 from pricelens.llm.html_text import extract_main_text, main_text
 from pricelens.llm.queries import QUERIES
 
@@ -62,6 +64,45 @@ def test_anchor_ids_of_headings_and_sections_are_no_surroundings():
     assert main_text(page) == "\n".join(["Related work", (LONG * 3).strip(), (LONG * 2).strip()])
 
 
+LINKS = "<div class=list><ul>" + "<li><a href=x>Some other page of this site with a long name</a></li>" * 60 + "</ul></div>"
+PROSE = f"<h2>Head</h2><p>{LONG * 3}</p><p>Short one</p><p>{LONG * 2}</p>"
+PROSE_TEXT = "\n".join(["Head", (LONG * 3).strip(), "Short one", (LONG * 2).strip()])
+
+
+def test_scores_choose_the_content_without_article_or_main(monkeypatch):
+    page = f"<body><div>{PROSE}</div>{LINKS}</body>"
+    assert main_text(page) == PROSE_TEXT
+    monkeypatch.setattr(html_text, "path_scores", lambda nodes, above: {n.path: 1.0 for n in nodes})
+    assert main_text(page) != PROSE_TEXT
+
+
+def test_scores_choose_among_the_blocks_of_one_container(monkeypatch):
+    page = f"<body><div>{PROSE}<p class=related>Elsewhere: more of it</p></div></body>"
+    assert main_text(page) == PROSE_TEXT
+    monkeypatch.setattr(html_text, "path_scores", lambda nodes, above: {n.path: 1.0 for n in nodes})
+    assert main_text(page) != PROSE_TEXT
+
+
+@pytest.mark.parametrize("name", "tags alert reply search related share toc social discussion header widget".split())
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div>{}</div>"])
+def test_prose_under_a_doubtful_name_stays(name, wrap):
+    body = f"<p>{LONG * 3}</p><div class={name}><p>{LONG * 3}</p></div><p>{LONG * 2}</p><p class={name}>one two</p>"
+    assert main_text("<body><nav>Home</nav>" + wrap.replace("{}", body) + "</body>") == "\n".join([(LONG * 3).strip()] * 2 + [(LONG * 2).strip()])
+
+
+def test_a_form_round_the_page_and_one_beside_the_text():
+    assert main_text(f"<body><form action=x><div>{PROSE}</div></form></body>") == PROSE_TEXT
+    sign = "<form><p>Leave your address, please, and your name.</p></form>"
+    assert main_text(f"<body><div>{PROSE}{sign}</div></body>") == PROSE_TEXT
+
+
+def test_cost_of_deep_pages_is_not_nodes_times_depth():
+    page = "<article>" + "<i>" * 500 + "<b>x, y.</b> " * 20_000
+    start = time.process_time()
+    text = main_text(page)
+    assert text == " ".join(["x, y."] * 20_000) and time.process_time() - start < 2
+
+
 @pytest.mark.parametrize("page", ["", None, "   ", "<html></html>", "<nav>Home</nav>", "<script>x", "<!-- x", "<p", "<"])
 def test_pages_without_text(page):
     assert main_text(page) == ""
