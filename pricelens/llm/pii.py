@@ -44,18 +44,20 @@ _MAP = {ord(x): a for a, xs in _ALIKE.items() for x in xs}
 _MAP |= {0xFF01 + k: chr(0x21 + k) for k in range(94)}  # full-width forms
 _MAP |= {base + k: str(k) for base in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for k in range(10)}
 _GONE = {0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF}
-_STRANGE = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted({*_MAP, *_GONE})) + "]")
+_STRANGE = frozenset(map(chr, {*_MAP, *_GONE}))
+_STRANGE_RUN = re.compile("[" + "".join(map(re.escape, sorted(_STRANGE))) + "]")
 
 _NUMBERS = {w: str(k) for k, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _NUMBER = "(?:" + "|".join(_NUMBERS) + ")"
 _SPELLED = re.compile(rf"(?:\bplus[ ,.-]+)?\b(?:{_NUMBER}|[0-9])(?:[ ,.-]{{1,3}}(?:{_NUMBER}|[0-9]))+\b", re.I)
-_TWO_SPELLED = re.compile(rf"{_NUMBER}[ ,.-]{{1,3}}{_NUMBER}", re.I)
+_WORDS, _BETWEEN = tuple(_NUMBERS), frozenset(" ,.-")
 _UNIT = re.compile(rf"plus|{_NUMBER}|[0-9]", re.I)
 
-_IN_AT, _IN_DOT = (rf"[ \t]*(?:\([ ]?{w}[ ]?\)|\[[ ]?{w}[ ]?\]|\{{[ ]?{w}[ ]?\}}|<[ ]?{w}[ ]?>)[ \t]*" for w in ("at", "dot"))
-_DISGUISED = re.compile(
-    rf"(?P<local>(?:[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{{0,63}}(?:{_IN_DOT}| dot )){{0,8}}[A-Za-z0-9._%+-]{{1,64}})(?P<at>" + _IN_AT + r"| at |@| @ ?|@ )"
-    rf"(?P<rest>[A-Za-z0-9-]{{1,63}}(?:(?:\.|{_IN_DOT}| dot )[A-Za-z0-9-]{{1,63}})+)", re.I)
+_AT_CORE, _DOT_CORE = (rf"(?:\( ?{w} ?\)|\[ ?{w} ?\]|\{{ ?{w} ?\}}|< ?{w} ?>)[ \t]*+" for w in ("at", "dot"))
+_AT = re.compile(rf"(?P<sign>@ ?)|(?P<word> at(?= ))|{_AT_CORE}", re.I)
+_DOT_MARK = re.compile(rf"(?P<word> dot(?= ))|{_DOT_CORE}", re.I)
+_IN_DOT = rf"[ \t]*{_DOT_CORE}"
+_REST = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|{_IN_DOT}| dot )[A-Za-z0-9-]++)++", re.I)
 # Top-level domains that tell an address behind the word "at" from prose.
 _KNOWN_TOP = re.compile(
     r"\.(?:com|org|net|edu|gov|mil|int|info|biz|io|co|dev|app|eu|uk|de|fr|es|it|nl|be|ch|at|pl|pt|se|no|dk|fi|ie|cz|gr|ru|ua|tr|jp|cn|kr|in|au|nz|ca|us|mx|br|ar|cl|za)\Z",
@@ -65,7 +67,29 @@ _DOTTED_WORDS = re.compile(rf"[0-9]{{1,3}}(?:(?:{_IN_DOT}| dot )[0-9]{{1,3}}){{3
 _OCTET = rf"(?:{_NUMBER}|[0-9]{{1,3}})(?:[ -](?:{_NUMBER}|[0-9])){{0,2}}"
 _SPELLED_IP = re.compile(rf"\b{_OCTET}(?:(?:{_IN_DOT}| dot ){_OCTET}){{3}}\b", re.I)
 _OCTET_UNIT = re.compile(rf"{_IN_DOT}| dot |{_NUMBER}|[ -]", re.I)
-_HINT = re.compile(r"dot|[(\[{<] ?at ?[)\]}>]| @|@ | at [A-Za-z0-9-]+\.", re.I)
+_AT_HINT = re.compile(r"[(\[{<] ?at ?[)\]}>]")
+_AT_NAME = re.compile(r" at [a-z0-9-]+\.")
+
+
+def _hinted(text: str) -> bool:
+    """Whether an at or dot disguise can be there; searches for fixed strings, so most texts cost little."""
+    low = text.casefold()
+    return "dot" in low or " @" in low or "@ " in low or bool(_AT_HINT.search(low)) or " at " in low and bool(_AT_NAME.search(low))
+
+
+def _two_spelled(text: str) -> bool:
+    """Whether two spelled digits stand next to each other."""
+    low = text.casefold()
+    for word in _NUMBERS:
+        at = low.find(word)
+        while at >= 0:
+            p = q = at + len(word)
+            while q < p + 3 and low[q:q + 1] in _BETWEEN and q < len(low):
+                q += 1
+                if low.startswith(_WORDS, q):
+                    return True
+            at = low.find(word, at + 1)
+    return False
 
 
 def _luhn(digits: str) -> bool:
@@ -122,6 +146,8 @@ class Normalised:
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace stretches (start, end, new), sorted and apart; new characters stand for the whole stretch."""
+        if not edits:
+            return
         texts, begins, ends, last = [], [], [], 0
         for s, e, new in [*edits, (len(self.text), len(self.text), "")]:
             texts += [self.text[last:s], new]
@@ -136,30 +162,80 @@ class Normalised:
 
 def _plain_letters(n: Normalised) -> None:
     edits = []
-    for m in _STRANGE.finditer(n.text):
+    for m in _STRANGE_RUN.finditer(n.text):
         c = ord(m[0])
         edits.append((m.start(), m.end(), "" if c in _GONE else _MAP[c]))
     n.rewrite(edits)
 
 
+def _dots(text: str) -> dict[int, int]:
+    """Start of each dot disguise by its end, blanks round brackets included."""
+    found = {}
+    for m in _DOT_MARK.finditer(text):
+        start = m.start()
+        while not m["word"] and start and text[start - 1] in " \t":
+            start -= 1
+        found[m.end() + bool(m["word"])] = start  # two words may share a blank
+    return found
+
+
+def _addresses(text: str, dots: dict[int, int]) -> Iterator[tuple[int, int, str]]:
+    """Edits that undo address disguises.  Anchored at each "at": the domain is read
+    forwards, the local part backwards over words and disguised dots of any length."""
+    done = 0
+    for m in _AT.finditer(text):
+        end = m.end() + bool(m["word"])
+        rest = _REST.match(text, end)
+        if rest is None or m.start() < done:
+            continue
+        at = m.start()
+        if m["sign"]:
+            at -= at > done and text[at - 1] == " "
+        elif not m["word"]:
+            while at > done and text[at - 1] in " \t":
+                at -= 1
+        start, inner = at, []
+        while True:
+            word = start
+            while word > done and text[word - 1] in _LOCAL:
+                word -= 1
+            while inner and word < start and text[word] == ".":  # no name starts with one
+                word += 1
+            if word == start:
+                start = inner.pop()[1] if inner else start  # a dot without a word before it
+                break
+            start = word
+            if dots.get(start, -1) < done:
+                break
+            inner.append((dots[start], start, "."))
+            start = dots[start]
+        if start == at:
+            continue
+        outer = [(rest.start() + d.start(), rest.start() + d.end(), ".") for d in _DOT.finditer(rest[0])]
+        local = text[start:at]
+        if m["word"] and not outer and not (
+                re.search(r"[A-Za-z]", local) and re.search(r"[0-9._]", local.rstrip(".")) or inner or _KNOWN_TOP.search(rest[0])):
+            continue  # "at" is a word unless a disguised dot, a name of several parts or a known domain tells
+        yield from inner
+        yield at, end, "@"
+        yield from outer
+        done = rest.end()
+
+
 def _phrases(n: Normalised) -> None:
     """at/dot disguises inside an address, dotted numbers and spelled digits."""
     edits: list[tuple[int, int, str]] = []
-    if _HINT.search(n.text):
-        for m in _DISGUISED.finditer(n.text):
-            dots = [(m.start("rest") + d.start(), m.start("rest") + d.end(), ".") for d in _DOT.finditer(m["rest"])]
-            if m["at"].lower() == " at " and not dots and not (
-                    re.search(r"[A-Za-z]", m["local"]) and re.search(r"[0-9._]", m["local"].rstrip(".")) or _DOT.search(m["local"]) or _KNOWN_TOP.search(m["rest"])):
-                continue  # "at" is a word unless a disguised dot, a name of several parts or a known domain tells
-            edits += [(m.start("local") + d.start(), m.start("local") + d.end(), ".") for d in _DOT.finditer(m["local"])]
-            edits += [(m.start("at"), m.end("at"), "@"), *dots]
-        for m in _DOTTED_WORDS.finditer(n.text):
-            edits += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _DOT.finditer(m[0])]
-        for m in _SPELLED_IP.finditer(n.text):
-            for u in _OCTET_UNIT.finditer(m[0]):
-                new = "." if "dot" in u[0].lower() else _NUMBERS.get(u[0].lower(), "")
-                edits.append((m.start() + u.start(), m.start() + u.end(), new))
-    if _TWO_SPELLED.search(n.text):
+    if _hinted(n.text):
+        dots = _dots(n.text)
+        edits += _addresses(n.text, dots)
+        if len(dots) >= 3:
+            for m in _DOTTED_WORDS.finditer(n.text):
+                edits += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _DOT.finditer(m[0])]
+            for m in _SPELLED_IP.finditer(n.text):
+                for u in _OCTET_UNIT.finditer(m[0]):
+                    new = "." if "dot" in u[0].lower() else _NUMBERS.get(u[0].lower(), "")
+                    edits.append((m.start() + u.start(), m.start() + u.end(), new))
+    if _two_spelled(n.text):
         for m in _SPELLED.finditer(n.text):
             units = list(_UNIT.finditer(m[0]))
             if len(units) < 7 or sum(len(u[0]) > 1 for u in units) < 2:
@@ -186,9 +262,11 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
         for m in _DOMESTIC.finditer(text):
             if not (text[m.start() - 1:m.start()].isdigit() or text[m.end():m.end() + 1].isdigit()):
                 found.add(("phone", m.start(), m.end()))
-    if _STRANGE.search(text) or _HINT.search(text) or _TWO_SPELLED.search(text):
+    strange = not text.isascii() and not _STRANGE.isdisjoint(text)
+    if strange or _hinted(text) or _two_spelled(text):
         n = Normalised(text)
-        _plain_letters(n)
+        if strange:
+            _plain_letters(n)
         _phrases(n)
         if n.text != text:
             for kind, s, e in plain_spans(n.text):

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -118,3 +119,20 @@ def test_odd_rows(spark, odd_docs, no_docs):
     one = spark.createDataFrame([(1, "mail a@b.cd " * 3000 + "+1 202 555 0143", 5)], "doc_id long, text string, n_chars int")
     row = pii.mask_personal_data(one, length_col="n_chars").first()
     assert row["text"] == "mail [EMAIL] " * 3000 + "[PHONE]" and row["n_chars"] == len(row["text"])
+
+
+def test_disguised_names_of_any_length_are_whole():
+    for local in ("x" * 200, " dot ".join(["ab"] * 40), ".".join(["name"] * 60), " [dot] ".join(["y" * 90] * 12)):
+        for at, rest in ((" at ", "example dot com"), (" [at] ", "z" * 80 + ".example (dot) org"), ("(at)", "mail.example.com"), (" @ ", "example dot org")):
+            text = f"write, {local}{at}{rest}, now"
+            spans = pii.disguised_spans(text, pii.plain_spans(text))
+            assert spans == [("email", 7, len(text) - 5)], text
+
+
+def test_cost_of_long_texts_with_disguises_grows_with_their_length():
+    parts = ["a" * 1_000_000 + " dot b", "x dot " * 200_000, " at " * 300_000, " " * 500_000 + "(at)" + " " * 500_000, "one two " * 100_000,
+             "( at ) [dot] " * 80_000, "a.b@" * 200_000, "1 dot 2 dot " * 80_000, "name at host.com " * 50_000]
+    for text in parts:
+        begin = time.process_time()
+        pii.disguised_spans(text, pii.plain_spans(text))
+        assert time.process_time() - begin < 12, text[:20]
