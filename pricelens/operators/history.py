@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.functions import vocab
@@ -327,6 +327,20 @@ def prefix_stats(
     return names.join(stats, "pat").drop("pat")
 
 
+def sighting_cube(history: DataFrame) -> DataFrame:
+    """(item_key, store, obs_date, price, n): equal sightings counted per item and
+    store, and with store null per item.
+
+    The history is read once; the item level adds up the counts, so no row of the
+    history is repeated.  Sightings without a store count on the item level only.
+    """
+    facts = ["item_key", "store", "obs_date", "price"]
+    counts = cut_lineage(
+        history.select(F.lower("item").alias("item_key"), "store", "obs_date", "price").groupBy(*facts).agg(F.count(F.lit(1)).alias("n")))
+    overall = counts.groupBy("item_key", "obs_date", "price").agg(F.sum("n").alias("n"))
+    return cut_lineage(counts.where("store is not null").unionByName(overall.withColumn("store", F.lit(None).cast("string"))))
+
+
 def item_store_stats(history: DataFrame) -> DataFrame:
     """Full statistics per lower-case item and store.
 
@@ -335,30 +349,39 @@ def item_store_stats(history: DataFrame) -> DataFrame:
     store null row of an item holds its statistics over all stores, the
     fallback for stores without history of their own.
     """
-    base = history.select(F.lower("item").alias("item_key"), "store", "obs_date", "price")
-    both = base.unionByName(base.withColumn("store", F.lit(None).cast("string")))
-    keys = ["item_key", "store"]
-    facts = both.groupBy(*keys).agg(
+    cube, keys = sighting_cube(history), ["item_key", "store"]
+    paid = F.when(F.col("price") > 0, F.col("n"))
+    facts = cube.groupBy(*keys).agg(
         F.min(F.when(F.col("price") > 0, F.col("price"))).alias("min_price"),
         F.max(F.when(F.col("price") > 0, F.col("price"))).alias("max_price"),
-        (F.sum(F.when(F.col("price") > 0, as_steps(F.col("price"))))
-         / F.nullif(F.count_if(F.col("price") > 0), F.lit(0)) / F.lit(float(MONEY_STEPS))).alias("avg_price"),
-        F.count(F.lit(1)).alias("frequency"),
-        F.count_distinct(F.weekofyear("obs_date")).alias("weeks_tracked"),
-    ).where("min_price is not null")
-    medians = exact_median(both.where("price > 0"), keys, "price", out="median_price")
-    trend = price_trend(both, keys)
+        (F.sum(as_steps(F.col("price")) * paid) / F.nullif(F.sum(paid), F.lit(0)) / F.lit(float(MONEY_STEPS))).alias("avg_price"),
+        F.sum("n").alias("frequency"),
+        # one bit a week of the year, so distinct weeks merge like any sum
+        F.bit_count(F.bit_or(F.expr("shiftleft(1L, weekofyear(obs_date))"))).cast("bigint").alias("weeks_tracked"),
+    ).where("min_price is not null").withColumn("weeks_tracked", F.coalesce("weeks_tracked", F.lit(0)))
+    medians = exact_median(cube.where("price > 0"), keys, "price", out="median_price", weight="n")
+    trend = price_trend(cube, keys, weight="n")
     return null_safe_join(null_safe_join(facts, medians, keys), trend, keys)
 
 
-def price_trend(history: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Trend and last sighting per key; ties on a day go by price."""
+def _first_sightings(counted: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
+    """First ``k`` sightings per key, ``_times`` of each counted row; ``spot`` 1 is the first row."""
+    by = Window.partitionBy(*[F.col(c) for c in keys]).orderBy(*order)
+    before = F.coalesce(F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return top_rows(counted, keys, order, k, "spot").withColumn("_times", F.least("_n", k - before)).where("_times > 0")
+
+
+def price_trend(history: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Trend and last sighting per key; ties on a day go by price.  A row stands for
+    ``weight`` equal sightings if that names a column."""
     keys = list(keys)
-    late = top_rows(history, keys, [F.col("obs_date").desc(), F.col("price").asc()], 3, "spot")
-    early = top_rows(history, keys, [F.col("obs_date").asc(), F.col("price").asc()], 3, "spot")
-    mean = F.sum(as_steps(F.col("price"))) / F.count("price") / F.lit(float(MONEY_STEPS))
+    counted = history.withColumn("_n", F.lit(1).cast("bigint") if weight is None else F.col(weight))
+    late = _first_sightings(counted, keys, [F.col("obs_date").desc(), F.col("price").asc()], 3)
+    early = _first_sightings(counted, keys, [F.col("obs_date").asc(), F.col("price").asc()], 3)
+    priced = F.when(F.col("price").isNotNull(), F.col("_times"))
+    mean = F.sum(as_steps(F.col("price")) * priced) / F.nullif(F.sum(priced), F.lit(0)) / F.lit(float(MONEY_STEPS))
     latest = late.groupBy(*keys).agg(
-        mean.alias("_late"), F.count(F.lit(1)).alias("_n"),
+        mean.alias("_late"), F.sum("_times").alias("_n"),
         F.max(F.when(F.col("spot") == 1, F.col("price"))).alias("last_price"),
         F.max(F.when(F.col("spot") == 1, F.col("obs_date"))).alias("last_date"),
     )

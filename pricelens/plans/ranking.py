@@ -123,10 +123,13 @@ def positions(df: DataFrame, keys: Sequence[str], levels: Sequence[tuple[str, Co
     ).select(*cols, (F.col("_from") + F.col("_k")).cast("bigint").alias(out))
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, width: float = 1.0, out: str = "median") -> DataFrame:
-    """Median of a value per key from counted values."""
+def exact_median(
+    df: DataFrame, keys: Sequence[str], value: str, width: float = 1.0, out: str = "median", weight: str | None = None
+) -> DataFrame:
+    """Median of a value per key from counted values; a row counts ``weight`` times if that names a column."""
     keys = list(keys)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    times = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(times.alias("n"))
     total = counted.groupBy(*keys).agg(F.sum("n").alias("_total"))
     ranked = null_safe_join(running_counts(counted, keys, value, "n", width), total, keys)
     low = F.floor((F.col("_total") + 1) / 2)

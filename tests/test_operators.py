@@ -265,3 +265,34 @@ def test_list_metrics_without_expanding_rows(spark):
     assert tuple(S.list_metrics(df).first()) == (3, 3.0, 1, 45.0, 1, 2)
     assert tuple(S.list_metrics(df.limit(0)).first()) == (0, None, 0, None, 0, 0)
     assert "Expand" not in S.list_metrics(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_item_store_stats_equal_brute_force(spark):
+    import random
+    from datetime import timedelta
+    from statistics import median
+
+    rnd = random.Random(8)
+    data = [(rnd.choice(["A", "B", None]), rnd.choice(["Milk", "milk", "Rye"]), "x", float(rnd.choice([0, 1, 1, 2, 5])), None, None,
+             DAY + timedelta(days=7 * rnd.randint(0, 6))) for _ in range(150)] + [("C", "tofu", "x", 2.0, None, None, DAY)]
+    history = rows(spark, data)
+    groups = {}
+    for store, item, _, price, _, _, day in data:
+        for key in {(item.lower(), store), (item.lower(), None)}:
+            groups.setdefault(key, []).append((day, price))
+    got = {(r.item_key, r.store): r for r in H.item_store_stats(history).collect()}
+    assert set(got) == set(groups)
+    for key, seen in groups.items():
+        r, paid = got[key], [p for _, p in seen if p > 0]
+        late, early = ([p for _, p in sorted(seen, key=by)[:3]] for by in (lambda x: (-x[0].toordinal(), x[1]), lambda x: x))
+        a, b = sum(late) / len(late), sum(early) / len(early)
+        trend = "UNKNOWN" if len(seen) < 2 else "DECREASING" if a < b * 0.95 else "INCREASING" if a > b * 1.05 else "STABLE"
+        assert (r.min_price, r.max_price, r.median_price, r.frequency) == (min(paid), max(paid), median(paid), len(seen))
+        assert abs(r.avg_price - sum(paid) / len(paid)) < 1e-9 and r.weeks_tracked == len({d.isocalendar()[1] for d, _ in seen})
+        assert (r.price_trend, r.last_price, r.last_date) == (trend, late[0], max(d for d, _ in seen))
+
+
+def test_the_item_level_adds_up_counts_instead_of_rows(spark):
+    history = rows(spark, [("A", "milk", "x", 1.0, None, None), (None, "milk", "x", 1.0, None, None)] * 500)
+    cube = H.sighting_cube(history).collect()
+    assert sorted((r.store or "", r.n) for r in cube) == [("", 1000), ("A", 500)]
