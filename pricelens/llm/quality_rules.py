@@ -126,14 +126,18 @@ class Rule:
         return f"{'keep' if self.keep else 'drop'} if {' and '.join(map(str, self.tests))} ({self.right} right, {self.wrong} wrong)"
 
 
-def cell_counts(labelled: DataFrame, label_col: str, grid: dict[str, tuple[float, ...]] = GRID) -> DataFrame:
-    """Rows per grid cell and class: one level column a feature, good, bad."""
+def cell_counts(labelled: DataFrame, label_col: str, grid: dict[str, tuple[float, ...]] = GRID, held: Column | None = None) -> DataFrame:
+    """Rows per grid cell and class: one level column a feature, good, bad, and of
+    these the rows held back for pruning (``held`` is true): held_good, held_bad."""
     value = features()
     levels = [
         sum(((value[f] > b).cast("int") for b in bounds), F.lit(0)).alias(f) for f, bounds in grid.items()
     ]
-    return labelled.select(F.col(label_col).alias("label"), *levels).groupBy(*grid).agg(
-        F.count(F.when(F.col("label") == 1, 1)).alias("good"), F.count(F.when(F.col("label") == 0, 1)).alias("bad"),
+    back = F.lit(False) if held is None else held
+    good, bad = F.col("label") == 1, F.col("label") == 0
+    return labelled.select(F.col(label_col).alias("label"), back.alias("held"), *levels).groupBy(*grid).agg(
+        F.count_if(good).alias("good"), F.count_if(bad).alias("bad"),
+        F.count_if(good & F.col("held")).alias("held_good"), F.count_if(bad & F.col("held")).alias("held_bad"),
     )
 
 
@@ -144,54 +148,82 @@ def learn(
     """Decision list by sequential covering over counted cells; pure counting, so
     it depends on the labelled rows only, not on their order or number of tasks.
 
-    Rules reject: each new rule covers as many bad cells as it can at
-    ``min_precision``.  What no rule covers is kept.  Without any bad row the list
-    is empty.  Ties go to the test named first in the grid, lower bounds first.
+    Each turn looks for a rule that rejects: it is grown on the rows not held back
+    and pruned on those that are (without any, on all).  Where none reaches
+    ``min_precision`` on all its rows, a rule that keeps is sought instead, so that
+    the exceptions it takes out let a later rule reject the rest; the order of the
+    list matters.  What no rule covers is kept, so rules that keep are left out at
+    the end.  Without any bad row the list is empty.  Ties go to the test named
+    first in the grid, lower bounds first.
     """
     names = list(grid)
     tests = [Test(f, above, b) for f in names for b in grid[f] for above in (True, False)]
     level = {(f, b): k for f in names for k, b in enumerate(grid[f])}
+    some_held = any(c.get("held_good") or c.get("held_bad") for c in cells)
 
     def holds(t: Test, cell: dict) -> bool:
         return (cell[t.feature] > level[t.feature, t.bound]) == t.above
 
-    def counted(rows: list[dict]) -> tuple[int, int]:
-        return sum(c["bad"] for c in rows), sum(c["good"] for c in rows)
+    def counted(rows: list[dict], keep: bool, part: str = "all") -> tuple[int, int]:
+        """Rows of the rule's class and others: all, those held back, or those to grow on."""
+        out = {}
+        for name in ("good", "bad"):
+            whole, held = sum(c[name] for c in rows), sum(c.get("held_" + name, 0) for c in rows)
+            out[name] = {"all": whole, "held": held if some_held else whole, "grow": whole - held}[part]
+        return (out["good"], out["bad"]) if keep else (out["bad"], out["good"])
 
-    def precision(bad: int, good: int) -> float:
-        return (bad + 1) / (bad + good + 2)
+    def precision(hits: int, others: int) -> float:
+        return (hits + 1) / (hits + others + 2)
 
-    rest, rules = sorted(cells, key=lambda c: tuple(c[f] for f in names)), []
-    while len(rules) < max_rules:
-        picked: list[Test] = []
-        inside = rest
+    def grow(rest: list[dict], keep: bool) -> list[Test]:
+        picked, inside = [], rest
         while len(picked) < max_tests:
-            bad, good = counted(inside)
-            if not good or not bad:
+            hits, others = counted(inside, keep, "grow")
+            if not hits or not others:
                 break
-            before = math.log2(bad / (bad + good))
+            before = math.log2(hits / (hits + others))
             best, gain = None, 1e-9
             for t in tests:
-                b, g = counted([c for c in inside if holds(t, c)])
-                if b >= min_rows and (now := b * (math.log2(b / (b + g)) - before)) > gain:
+                h, o = counted([c for c in inside if holds(t, c)], keep, "grow")
+                if h >= min_rows and (now := h * (math.log2(h / (h + o)) - before)) > gain:
                     best, gain = t, now
             if best is None:
                 break
             picked.append(best)
             inside = [c for c in inside if holds(best, c)]
-        # prune: leave out every test whose loss keeps the rule precise enough and widens it
+        return picked
+
+    def prune(rest: list[dict], keep: bool, picked: list[Test]) -> list[Test]:
+        """Leave out every test without which the rule is as precise on the rows held
+        back and still precise enough on all."""
+        inside = [c for c in rest if all(holds(t, c) for t in picked)]
         for t in list(picked):
             fewer = [x for x in picked if x != t]
             if not fewer:
                 continue
             wide = [c for c in rest if all(holds(x, c) for x in fewer)]
-            if precision(*counted(wide)) >= max(min_precision, precision(*counted(inside))):
+            if precision(*counted(wide, keep)) >= min_precision and (
+                precision(*counted(wide, keep, "held")) >= precision(*counted(inside, keep, "held"))
+            ):
                 picked, inside = fewer, wide
-        bad, good = counted(inside)
-        if not picked or bad < min_rows or precision(bad, good) < min_precision:
+        return picked
+
+    def next_rule(rest: list[dict], keep: bool) -> Rule | None:
+        picked = prune(rest, keep, grow(rest, keep))
+        hits, others = counted([c for c in rest if all(holds(t, c) for t in picked)], keep)
+        if not picked or hits < min_rows or precision(hits, others) < min_precision:
+            return None
+        return Rule(tuple(picked), keep, others, hits)
+
+    rest, rules = sorted(cells, key=lambda c: tuple(c[f] for f in names)), []
+    while len(rules) < max_rules and any(c["bad"] for c in rest):
+        rule = next_rule(rest, False) or next_rule(rest, True)
+        if rule is None:
             break
-        rules.append(Rule(tuple(picked), False, good, bad))
-        rest = [c for c in rest if not all(holds(t, c) for t in picked)]
+        rules.append(rule)
+        rest = [c for c in rest if not all(holds(t, c) for t in rule.tests)]
+    while rules and rules[-1].keep:
+        rules.pop()
     return rules
 
 
@@ -204,12 +236,14 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def fit_rules(assessed: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", **how) -> list[Rule]:
-    """Learn from all labelled rows.  ``assessed`` has the statistics; rows that the
-    fixed limits reject anyway take no part.  Labels other than 0 and 1, null ids
+    """Learn from all labelled rows, a third of the ids (by their hash) held back for
+    pruning.  ``assessed`` has the statistics; rows that the fixed limits reject
+    anyway take no part.  Labels other than 0 and 1, null ids
     and ids without a document are left out; a document labelled twice counts twice."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("q_id"), F.col(label_col).alias("q_label"))
     rows = assessed.where(~base_failed()).join(known, assessed[id_col] == known["q_id"])
-    return learn([r.asDict() for r in cell_counts(rows, "q_label").collect()], **how)
+    held = F.pmod(F.xxhash64("q_id"), F.lit(3)) == 0
+    return learn([r.asDict() for r in cell_counts(rows, "q_label", held=held).collect()], **how)
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -72,6 +72,57 @@ def test_rules_are_grown_pruned_and_ordered():
     assert rules == q.learn(cells[::-1], grid)
 
 
+def judged(rules, grid, c):
+    """The list applied to one cell."""
+    for r in rules:
+        if all((c[t.feature] > grid[t.feature].index(t.bound)) == t.above for t in r.tests):
+            return r.keep
+    return True
+
+
+def test_order_and_both_classes_matter():
+    """With one test a rule, rejecting is only right once the exceptions are kept in front."""
+    grid = {"symbol_share": (0.1,), "upper_share": (0.5,), "word_length": (8.0,)}
+    cells = [
+        cell(grid, 0, 300), cell(grid, 60, 0, symbol_share=1), cell(grid, 0, 40, symbol_share=1, word_length=1),
+        cell(grid, 0, 50, word_length=1), cell(grid, 0, 20, upper_share=1),
+    ]
+    rules = q.learn(cells, grid, max_tests=1)
+    assert [r.keep for r in rules] == [True, False] and all(len(r.tests) == 1 for r in rules)
+    assert all(judged(rules, grid, c) == (c["good"] > 0) for c in cells)
+    assert not all(judged(rules[::-1], grid, c) == (c["good"] > 0) for c in cells)
+
+
+def test_pruning_follows_the_rows_held_back():
+    """Among the rows to grow on a second test looks useful; those held back say it is not."""
+    grid = {"symbol_share": (0.1,), "upper_share": (0.5,)}
+    cells = [
+        cell(grid, 0, 200) | {"held_good": 60, "held_bad": 0},
+        cell(grid, 60, 4, symbol_share=1) | {"held_good": 0, "held_bad": 30},
+        cell(grid, 90, 0, symbol_share=1, upper_share=1) | {"held_good": 0, "held_bad": 10},
+        cell(grid, 0, 100, upper_share=1) | {"held_good": 30, "held_bad": 0},
+    ]
+    plain = [c | {"held_good": 0, "held_bad": 0} for c in cells]
+    assert str(q.learn(cells, grid)[0]) == "drop if symbol_share > 0.1 (150 right, 4 wrong)"
+    assert str(q.learn(plain, grid)[0]) == "drop if symbol_share > 0.1 and upper_share > 0.5 (90 right, 0 wrong)"
+
+
+def test_labelled_documents_that_need_a_conjunction(spark):
+    """Bad: many symbols in short words.  Symbols among long words and short words alone are good."""
+    rows, labels = [], []
+    for i in range(240):
+        short, symbols = i % 2 == 0, i % 3 == 0
+        word = "ab" if short else "abcdefghij"
+        text = " ".join(f"{word}{chr(97 + k % 26)}{chr(97 + (k // 26 + i) % 26)}" + (("#" if short else "###") if symbols and k % 2 else "") for k in range(70))
+        rows.append((i, text))
+        labels.append((i, 0 if short and symbols else 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = q.fit_rules(q.assess(docs), spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert [len(r.tests) for r in rules if not r.keep] == [2]
+    kept = {r["doc_id"] for r in q.keep_good(docs, rules).collect()}
+    assert kept == {i for i, good in labels if good}
+
+
 def test_no_labels_give_no_rules(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert q.fit_rules(q.assess(odd_docs), none) == [] and q.fit_rules(q.assess(no_docs), none) == []
