@@ -404,6 +404,18 @@ def stream_latest_price(spark, sf):
     return rows.withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query(
+    "stream_price_table",
+    f"""WITH {_EV} SELECT store, item, arg_max(price, (ts, price)) AS last_price, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen,
+        count(*) AS n_seen FROM ev GROUP BY store, item""",
+)
+def stream_price_table(spark, sf):
+    path, keys, events = new_path(spark, "state"), ["store", "item"], _event_stream(spark, sf)
+    ST.keep_latest_prices(events, path, keys, "14 days")
+    rows = ST.latest_prices(spark, path, keys, events)
+    return rows.withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query(
     "stream_static_match",
     f"""WITH {_EV}, h AS (SELECT item, {rnd(avg('price'))} AS avg_price, min(price) AS min_price FROM ev GROUP BY item)

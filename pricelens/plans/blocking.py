@@ -36,38 +36,42 @@ def _grams(text: Column, n: int) -> Column:
 
 
 def substring_links(
-    patterns: DataFrame, pattern: str, texts: DataFrame, text: str, min_len: int = 1
+    patterns: DataFrame, pattern: str, texts: DataFrame, text: str, min_len: int = 1, within: list[str] | None = None
 ) -> DataFrame:
-    """Distinct (pattern, text) pairs in which the text holds the pattern.
+    """Distinct (within, pattern, text) rows in which the text holds the pattern.
 
     A text that holds a pattern holds each of its trigrams, so looking only at
     the texts with the pattern's rarest trigram loses nothing.  Patterns of one
     or two characters are their own gram (skipped when ``min_len`` is 3).
+    ``within`` names columns of both sides that must agree and not be null: grams
+    are counted and joined inside them, so no pair across them is ever looked at.
     """
-    p = patterns.select(F.col(pattern).alias("_p")).where(F.length("_p") >= min_len).distinct()
-    t = texts.select(F.col(text).alias("_t")).where(F.length("_t") > 0).distinct()
+    within = list(within or [])
+    p = patterns.select(*within, F.col(pattern).alias("_p")).where(F.length("_p") >= min_len).distinct()
+    t = texts.select(*within, F.col(text).alias("_t")).where(F.length("_t") > 0).distinct()
     own = F.when(F.length("_p") >= 3, _grams(F.col("_p"), 3)).otherwise(F.array("_p"))
-    pattern_grams = p.select("_p", F.explode(own).alias("_g"))
+    pattern_grams = p.select(*within, "_p", F.explode(own).alias("_g"))
     sizes = [3] if min_len >= 3 else [1, 2, 3]
-    text_grams = t.select("_t", F.explode(F.concat(*[_grams(F.col("_t"), n) for n in sizes])).alias("_g"))
-    text_grams = text_grams.join(pattern_grams.select("_g").distinct(), "_g", "left_semi")
-    freq = text_grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
+    gram = [*within, "_g"]
+    text_grams = t.select(*within, "_t", F.explode(F.concat(*[_grams(F.col("_t"), n) for n in sizes])).alias("_g"))
+    text_grams = text_grams.join(pattern_grams.select(*gram).distinct(), gram, "left_semi")
+    freq = text_grams.groupBy(*gram).agg(F.count(F.lit(1)).alias("_f"))
     # a gram no text has rules its pattern out: it is absent from freq;
     # written once, so the frequency pass is not repeated per use
     chosen = cut_lineage(
-        pattern_grams.join(freq, "_g", "left")
-        .groupBy("_p")
+        pattern_grams.join(freq, gram, "left")
+        .groupBy(*within, "_p")
         .agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_g").alias("g"))).alias("c"))
         .where("c.f > 0")
-        .select("_p", F.col("c.g").alias("_g"), salts(F.col("c.f")).alias("_s"))
+        .select(*within, "_p", F.col("c.g").alias("_g"), salts(F.col("c.f")).alias("_s"))
     )
-    needed = chosen.select("_g", "_s").distinct()
-    left = chosen.select("_p", "_g", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_salt"))
-    right = text_grams.join(needed, "_g").select("_t", "_g", salt_of(F.col("_t"), F.col("_s")).alias("_salt"))
+    needed = chosen.select(*gram, "_s").distinct()
+    left = chosen.select(*gram, "_p", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_salt"))
+    right = text_grams.join(needed, gram).select(*gram, "_t", salt_of(F.col("_t"), F.col("_s")).alias("_salt"))
     return (
-        left.join(right, ["_g", "_salt"])
+        left.join(right, [*gram, "_salt"])
         .where(F.contains("_t", "_p"))
-        .select(F.col("_p").alias(pattern), F.col("_t").alias(text))
+        .select(*within, F.col("_p").alias(pattern), F.col("_t").alias(text))
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from pricelens.functions.numbers import MONEY_STEPS, as_steps, exact_avg, half_up
 from pricelens.operators.dedupe import dedupe
-from pricelens.session import new_path
+from pricelens.session import discard, new_path, staged
 from pricelens.sources.tables import append_archive_table
 
 def read_stream(
@@ -135,6 +135,94 @@ def latest_price(stream: DataFrame, keys: Sequence[str], time: str = "ts") -> Da
     )
 
 
+def _price_kind(stream: DataFrame, keys: Sequence[str], time: str) -> StructType:
+    """Columns of the price state: the keys, (time, price) of the last sighting,
+    sightings, and the folders' names."""
+    last = F.struct(F.col(time).alias("at"), F.col("price")).alias("last")
+    folders = [F.lit(0).alias("v"), F.lit(False).alias("old"), F.lit(0).alias("bucket")]
+    return stream.select(*keys, last, F.lit(0).cast("long").alias("n_seen"), *folders).schema
+
+
+def _merged_prices(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return parts.groupBy(*keys).agg(F.max("last").alias("last"), F.sum("n_seen").alias("n_seen"))
+
+
+def _version_map(spark: SparkSession, path: str, batch: int) -> dict[int, int]:
+    """Bucket -> the batch that wrote it last, as of ``batch``: at most one entry a bucket."""
+    if batch < 0:
+        return {}
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{path}/log/v={batch}").where("version >= 0").collect()}
+
+
+def keep_latest_prices(
+    stream: DataFrame, path: str, keys: Sequence[str], max_age: str, time: str = "ts", buckets: int = 64,
+) -> StreamingQuery:
+    """Last price per key in a table under ``path`` that micro-batches merge into.
+
+    State lies in ``buckets`` groups of files by the keys' hash.  A batch is reduced to
+    one row per key first; it reads and rewrites only the buckets its keys fall into.
+    Keys not seen for ``max_age`` (an interval such as ``90 days``) before the newest
+    row so far move out of the live state when their bucket is next rewritten; they
+    stay readable and are never lost, see ``latest_prices``.
+
+    Each batch writes new folders and then its version map, so a batch repeated after
+    a failure starts from the map before it and replaces what it wrote.  What the last
+    two maps do not name is deleted.  The stream's checkpoint lies under ``path``, too:
+    a rerun continues.  Rows with a null time or price count as sightings; null keys
+    are a key.
+    """
+    kind = _price_kind(stream, keys, time)
+
+    def handle(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        before = _version_map(spark, path, batch - 1)
+        for b, v in _version_map(spark, path, batch - 2).items():
+            if before.get(b) != v:
+                discard(spark, f"{path}/live/v={v}/old=false/bucket={b}")
+        discard(spark, f"{path}/log/v={batch - 3}")
+        reduced = df.groupBy(*keys).agg(
+            F.max(F.struct(F.col(time).alias("at"), F.col("price"))).alias("last"), F.count(F.lit(1)).alias("n_seen"),
+        ).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        fresh, folder = staged(reduced)
+        newest = fresh.agg(F.unix_micros(F.max(F.col("last.at").cast("timestamp")))).first()[0]
+        if batch:
+            seen = [newest, spark.read.parquet(f"{path}/log/v={batch - 1}").agg(F.max("newest")).first()[0]]
+            newest = max((x for x in seen if x is not None), default=None)
+        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
+        known = [f"{path}/live/v={before[b]}/old=false/bucket={b}" for b in touched if b in before]
+        parts = fresh
+        if known:
+            live = spark.read.schema(kind).option("basePath", f"{path}/live").parquet(*known)
+            parts = parts.unionByName(live.select(parts.columns))
+        merged = _merged_prices(parts, [*keys, "bucket"])
+        bound = F.timestamp_micros(F.lit(newest).cast("long")) - F.expr(f"interval {max_age}")
+        aged = merged.withColumn("old", F.coalesce(F.col("last.at") < bound, F.lit(False)))
+        aged.write.mode("overwrite").partitionBy("old", "bucket").parquet(f"{path}/live/v={batch}")
+        filled = set()
+        if touched:
+            written = spark.read.schema(kind).option("basePath", f"{path}/live").parquet(f"{path}/live/v={batch}")
+            filled = {r["bucket"] for r in written.where("not old").select("bucket").distinct().collect()}
+        after = {b: v for b, v in before.items() if b not in touched} | {b: batch for b in filled}
+        # a row without a bucket carries the newest time even when no bucket is left
+        entries = spark.createDataFrame([(k, v, newest) for k, v in [*after.items(), (-1, -1)]], "bucket int, version int, newest long")
+        entries.coalesce(1).write.mode("overwrite").parquet(f"{path}/log/v={batch}")
+        discard(spark, folder)
+
+    return run_available(stream, "append", handle, f"{path}/checkpoint")
+
+
+def latest_prices(spark: SparkSession, path: str, keys: Sequence[str], stream: DataFrame, live_only: bool = False, time: str = "ts") -> DataFrame:
+    """Keys, last_price, last_seen and n_seen from the table ``keep_latest_prices``
+    maintains; ``live_only`` leaves out what has moved out for its age."""
+    last = spark.read.parquet(f"{path}/log").agg(F.max("v")).first()[0]
+    table = spark.read.schema(_price_kind(stream, keys, time)).parquet(f"{path}/live")
+    versions = spark.read.parquet(f"{path}/log/v={last}").select("bucket", F.col("version").alias("v"))
+    live = table.where("not old").join(F.broadcast(versions), ["bucket", "v"])  # one row a bucket
+    rows = live if live_only else live.unionByName(table.where("old").select(live.columns))
+    return _merged_prices(rows, keys).select(
+        *keys, F.col("last.price").alias("last_price"), F.col("last.at").alias("last_seen"), "n_seen")
+
+
 def against_history(stream: DataFrame, stats: DataFrame, key: str) -> DataFrame:
     """Arriving observations joined with static statistics of their item."""
     joined = stream.join(stats, key, "left")

@@ -35,6 +35,17 @@ def test_substring_links(spark, split):
     assert got == {(a, b) for a in patterns for b in rows if a in b}
 
 
+def test_substring_links_stay_within_their_group(spark, split):
+    patterns = [(f"s{i % 3}", x) for i, x in enumerate(texts(25, 1, 2) + ["a", "ed", "e b", "zz"] * 3)] + [(None, "a")]
+    rows = [(f"s{i % 3}", x) for i, x in enumerate(texts(60, 2, 4))] + [(None, "a b")]
+    p = spark.createDataFrame(patterns, "store string, p string")
+    t = spark.createDataFrame(rows, "store string, t string")
+    links = blocking.substring_links(p, "p", t, "t", within=["store"]).collect()
+    got = {tuple(r) for r in links}
+    assert len(links) == len(got)
+    assert got == {(s, a, b) for s, a in patterns for u, b in rows if s is not None and s == u and a in b}
+
+
 def test_keyword_links(spark, split):
     sets = [sorted(set(x.split())) for x in texts(30, 3, 5)]
     rows = texts(60, 4, 4) + ["redapple bluebread", "milkrice"]

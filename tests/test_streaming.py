@@ -90,3 +90,64 @@ def test_a_row_touches_one_pane(spark):
     assert panes.agg(F.sum("n")).first()[0] == batch.count()
     assert "Expand" not in panes._jdf.queryExecution().executedPlan().toString()
     assert "Expand" in ST.window_stats(batch, ["store"], "180 days", None, "7 days")._jdf.queryExecution().executedPlan().toString()
+
+
+def prices(spark, path, frame, **how):
+    rows = ST.latest_prices(spark, path, ["store", "item"], frame, **how).collect()
+    return {(r.store, r.item): (r.last_price, r.last_seen, r.n_seen) for r in rows}
+
+
+def test_price_table_follows_batches_and_restarts(spark, tmp_path):
+    folder, batch = landed(spark, tmp_path)
+    keys, path = ["store", "item"], new_path(spark, "state")
+    want = lambda df: {(r.store, r.item): (r.last_price, r.last_seen, r.n_seen) for r in ST.latest_price(df, keys).collect()}
+    ST.keep_latest_prices(stream(spark, folder, batch), path, keys, "90 days", buckets=4)
+    assert prices(spark, path, batch) == want(batch) == prices(spark, path, batch, live_only=True)
+    more = [(700, START + timedelta(days=9), "s0", "i0", 7.5, START.date()), (701, START, None, "i9", None, START.date())]
+    extra = spark.createDataFrame(more, SCHEMA)
+    extra.coalesce(1).write.mode("append").parquet(folder)
+    ST.keep_latest_prices(stream(spark, folder, batch), path, keys, "90 days", buckets=4)
+    assert prices(spark, path, batch) == want(batch.unionByName(extra))
+
+
+def test_price_table_rewrites_touched_buckets_only_and_lets_old_keys_go(spark, tmp_path):
+    import glob
+
+    folder, batch = landed(spark, tmp_path)
+    keys, path = ["store", "item"], new_path(spark, "state")
+    ST.keep_latest_prices(stream(spark, folder, batch), path, keys, "30 days", buckets=4)
+    late = spark.createDataFrame([(800, START + timedelta(days=100), "s0", "i0", 2.0, START.date())], SCHEMA)
+    late.coalesce(1).write.mode("append").parquet(folder)
+    ST.keep_latest_prices(stream(spark, folder, batch), path, keys, "30 days", buckets=4)
+    last = max(int(f.rsplit("=", 1)[1]) for f in glob.glob(f"{path}/live/v=*"))
+    rewritten = {f.rsplit("=", 1)[1] for f in glob.glob(f"{path}/live/v={last}/old=*/bucket=*")}
+    assert len(rewritten) == 1
+    everything = ST.latest_price(batch.unionByName(late), keys)
+    whole = {(r.store, r.item): (r.last_price, r.last_seen, r.n_seen) for r in everything.collect()}
+    assert prices(spark, path, batch) == whole
+    live = prices(spark, path, batch, live_only=True)
+    assert live.keys() < whole.keys() and ("s0", "i0") in live
+    # a key that comes back counts on from what had moved out
+    back = next(iter(whole.keys() - live.keys()))
+    again = spark.createDataFrame([(801, START + timedelta(days=101), *back, 3.0, START.date())], SCHEMA)
+    again.coalesce(1).write.mode("append").parquet(folder)
+    ST.keep_latest_prices(stream(spark, folder, batch), path, keys, "30 days", buckets=4)
+    assert prices(spark, path, batch)[back] == (3.0, START + timedelta(days=101), whole[back][2] + 1)
+    assert prices(spark, path, batch, live_only=True)[back] == (3.0, START + timedelta(days=101), 1)
+
+
+def test_price_table_repeats_a_failed_batch(spark, tmp_path):
+    import glob
+    import os
+
+    folder, batch = landed(spark, tmp_path)
+    keys, path = ["store", "item"], new_path(spark, "state")
+    ST.keep_latest_prices(stream(spark, folder, batch), path, keys, "90 days", buckets=4)
+    once = prices(spark, path, batch)
+    # the last batch's commit is gone, as after a failure just before it
+    commits = [f for f in glob.glob(f"{path}/checkpoint/commits/*") if os.path.basename(f).isdigit()]
+    newest = max(commits, key=lambda f: int(os.path.basename(f)))
+    os.remove(newest)
+    os.remove(os.path.join(os.path.dirname(newest), f".{os.path.basename(newest)}.crc"))
+    ST.keep_latest_prices(stream(spark, folder, batch), path, keys, "90 days", buckets=4)
+    assert prices(spark, path, batch) == once
