@@ -296,3 +296,31 @@ def test_the_item_level_adds_up_counts_instead_of_rows(spark):
     history = rows(spark, [("A", "milk", "x", 1.0, None, None), (None, "milk", "x", 1.0, None, None)] * 500)
     cube = H.sighting_cube(history).collect()
     assert sorted((r.store or "", r.n) for r in cube) == [("", 1000), ("A", 500)]
+
+
+def test_fuzzy_match_pairs_word_sets_and_agrees_with_all_pairs(spark):
+    words = lambda n: {w for w in n.split() if len(w) > 3}
+    names = [f"{a}corn {b}{s}" for a in ("", "Sale ", "fine ") for b in ("flakes", "chips") for s in ("", " 25 g", " 50 g", " 1000 g")]
+    offers = [("A", n.strip(), 1.0 + (i * 7) % 5) for i, n in enumerate(names)] + [("A", "corn", 2.0), ("A", "rye", 2.0)]
+    entries = [("A", n, 1.0 + (i * 3) % 11 * 0.45, i % 9) for i, n in enumerate(names) if i % 5]
+
+    def best(item, price):
+        found = []
+        for _, name, at, pos in entries:
+            l, r = item.lower(), name.lower()
+            share = len(words(l) & words(r)) / len(words(l) | words(r)) if words(l) and words(r) else 0.0
+            score = 0.8 if l in r or r in l else share * 0.6 if share >= 0.5 else None
+            if score is not None:
+                score += 0.2 if abs(price - at) / price < 0.1 else 0.0
+                if score > 0.5:
+                    found.append((-score, pos, name, at))
+        return min(found)[2:] if found else (None, None)
+
+    left = spark.createDataFrame(offers, "store string, item string, price double")
+    right = spark.createDataFrame(entries, "store string, name string, doc_price double, pos long")
+    got = {(r.item, r.price): (r.doc_name, r.doc_price) for r in X.best_document_match(left, right).collect()}
+    assert got == {(i, p): best(i, p) for _, i, p in offers}
+    # names that differ in their sizes only are one word set: one link, not 40 x 40
+    many = spark.range(40).select(F.lit("A").alias("store"), F.concat(F.lit("corn flakes "), F.col("id").cast("string")).alias("l"))
+    sets = many.select("store", X._word_set(F.col("l")).alias("ls"), X._word_set(F.col("l")).alias("rs"))
+    assert X._worded(sets, sets, 0.5, ["store"]).count() == 1
