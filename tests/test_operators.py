@@ -324,3 +324,20 @@ def test_fuzzy_match_pairs_word_sets_and_agrees_with_all_pairs(spark):
     many = spark.range(40).select(F.lit("A").alias("store"), F.concat(F.lit("corn flakes "), F.col("id").cast("string")).alias("l"))
     sets = many.select("store", X._word_set(F.col("l")).alias("ls"), X._word_set(F.col("l")).alias("rs"))
     assert X._worded(sets, sets, 0.5, ["store"]).count() == 1
+
+
+def test_pages_of_a_cell_end_at_the_first_that_covers_it(spark):
+    pages = [(1, 1000 + i, i, float(i % 3), 100.0 + i % 3, float(i % 5), 100.0 + i % 5) for i in range(300)]
+    pages += [(1, 7, 500, 150.0, 260.0, 0.0, 90.0), (1, 8, 501, 150.0, 260.0, 0.0, 90.0), (1, 9, 502, 200.0, 200.0, 50.0, 50.0)]
+    spots = [(1, 100 * x + y, x * 2.0, x * 2.0, y * 3.0, y * 3.0) for x in range(-2, 135) for y in range(-1, 40)]
+    p = spark.createDataFrame(pages, "feed int, page int, page_pos int, left double, right double, bottom double, top double")
+    i = spark.createDataFrame(spots, "feed int, id int, left double, right double, bottom double, top double")
+    got = {r.id: r.page for r in X.place_on_pages(i, p).collect()}
+
+    def first(x, y):
+        return next((page for _, page, _, l, r, b, t in pages if l <= x <= r and b <= y <= t), None)
+
+    assert got == {n: first(x, y) for _, n, x, _, y, _ in spots}
+    listed = X.page_lists(p, X.cell_sizes(p))
+    # 303 pages, 15 different ones on top of each other: lists stop at the first that covers the cell
+    assert listed.agg(F.max(F.size("_pages"))).first()[0] <= 16
