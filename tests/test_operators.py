@@ -10,6 +10,7 @@ from pricelens.operators import history as H
 from pricelens.operators import market as M
 from pricelens.operators import matching as X
 from pricelens.operators import summary as S
+from pricelens.plans import ranking as K
 from pricelens.plans import weekly as W
 from pricelens.sources import tables as TB
 
@@ -326,6 +327,33 @@ def test_fuzzy_match_pairs_word_sets_and_agrees_with_all_pairs(spark):
     assert X._worded(sets, sets, 0.5, ["store"]).count() == 1
 
 
+def test_match_keys_with_equal_texts_share_their_values(spark):
+    sizes = [100, 200, 300]
+    history = rows(spark, [("A", f"corn flakes crisp {s}", "x", float(s), None, None) for s in sizes for _ in (1, 2)])
+    current = rows(spark, [("A", f"corn flakes crisp box{i}", None, 200.0, None, None) for i in range(12)])
+    counted = H.counted_history(history)
+    tiers, links, sets = H.assign_tiers(current, counted)
+    # 12 keyword sets find the same texts: one key, linked and valued once
+    assert tiers.count() == 12 and tiers.select("kid").distinct().count() == 1
+    assert links.count() == links.distinct().count() == sets.select("mid").distinct().count()
+    assert sorted(map(tuple, H.key_values(links, sets, counted).select("basis", "value", "n").collect())) == [
+        ("shelf", float(s), 2) for s in sizes]
+    stats = H.historical_stats(current, history).select("historical_count", "price_percentile").distinct().collect()
+    assert [tuple(r) for r in stats] == [(6, 41.7)]  # 100 - (2 + 4 + 1) * 50 / 6
+
+
+def test_ranks_pair_no_probe_with_values(spark):
+    counted = spark.createDataFrame([("k", i / 100, 1 + i % 3) for i in range(250)] + [(None, 1.0, 5)], "k string, v double, n long")
+    probes = spark.createDataFrame([("k", i / 200) for i in range(520)] + [(None, 1.0), ("k", None), ("none", 1.0)], "k string, v double")
+    ranked = K.rank_probes(counted, probes, ["k"], "v")
+    got = {(r.k, r.v): (r.n_lt, r.n_le) for r in ranked.collect()}
+    want = {("k", i / 200): (sum(1 + j % 3 for j in range(250) if j / 100 < i / 200), sum(1 + j % 3 for j in range(250) if j / 100 <= i / 200))
+            for i in range(520)}
+    assert got == want | {("none", 1.0): (0, 0)}
+    # values and probes meet in one union: the only join brings the totals of the slices
+    assert ranked._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_pages_of_a_cell_end_at_the_first_that_covers_it(spark):
     pages = [(1, 1000 + i, i, float(i % 3), 100.0 + i % 3, float(i % 5), 100.0 + i % 5) for i in range(300)]
     pages += [(1, 7, 500, 150.0, 260.0, 0.0, 90.0), (1, 8, 501, 150.0, 260.0, 0.0, 90.0), (1, 9, 502, 200.0, 200.0, 50.0, 50.0)]
