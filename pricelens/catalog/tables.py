@@ -144,6 +144,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# texts that only a part or a supplier decides, and the cents most price columns start from:
+# spelled out once under a name, so that no column repeats them
+_OF_PART = {"_item": OBS["item"], "_category": _CATEGORY, "_noun": _NOUN, "_adj": _ADJ, "_last": _LAST}
+_OF_LINE = {"_cents": _CENTS}
+
+
+def _named(expr: str, staged: dict[str, str]) -> str:
+    for name, text in staged.items():
+        expr = expr.replace(text, name)
+    return expr
+
+
 def derive_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All observations.  Joins are left to the optimizer: it broadcasts a
     side only below the session's size threshold."""
@@ -153,11 +165,16 @@ def derive_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     if lines.rdd.getNumPartitions() < 2 * cores:  # a small input in few files: use all cores
         lines = lines.repartition(2 * cores)
-    return (
-        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(*[F.expr(e).alias(n) for n, e in OBS.items()])
+    parts = parts.select("*", *[F.expr(e).alias(n) for n, e in _OF_PART.items()])
+    shops = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        "s_suppkey", F.expr(_STORE).alias("_store")
+    )
+    rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(
+        shops, F.col("l_suppkey") == F.col("s_suppkey")
+    )
+    staged = {"_store": _STORE, **_OF_PART, **_OF_LINE}
+    return rows.withColumns({n: F.expr(e) for n, e in _OF_LINE.items()}).select(
+        *[F.expr(_named(e, staged)).alias(n) for n, e in OBS.items()]
     )
 
 

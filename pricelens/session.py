@@ -17,6 +17,7 @@ _SETTINGS = {
     # hot join keys are split at run time, also when that costs an extra exchange
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
