@@ -75,12 +75,13 @@ def parse_prices(df: DataFrame, raw: str = "raw_price") -> DataFrame:
         (bought, half_up(F.col("_total") / F.when(bought, F.col("_qty")), 2), "multi_buy"),
         (F.col("_any").isNotNull(), F.col("_any"), "each"),
     ]
-    return staged.select(
-        *df.columns,
+    parsed = F.struct(
         F.coalesce(*[F.when(test, value) for test, value, _ in rules]).alias("price"),
         F.when(F.col(raw) != "", F.col(raw)).alias("price_text"),
         F.coalesce(*[F.when(test, F.lit(basis)) for test, _, basis in rules]).alias("price_basis"),
     )
+    # generated columns: a filter on the price stays above the parser instead of repeating its patterns
+    return staged.select(*df.columns, F.inline(F.array(parsed)))
 
 
 def parse_prices_legacy(df: DataFrame, raw: str = "raw_price") -> DataFrame:
