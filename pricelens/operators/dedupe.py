@@ -20,16 +20,11 @@ def dedupe(
     are untouched.  Map tasks keep one row per key before the shuffle, so a
     hot key costs one row per task.
     """
-    exprs = keys if isinstance(keys, Mapping) else {c: F.col(c) for c in keys}
-    named = {f"_key_{n}": e for n, e in exprs.items()}
+    exprs = keys.values() if isinstance(keys, Mapping) else [F.col(c) for c in keys]
     by = list(order) if keep == "first" else [_reversed(o) for o in order]
-    spot = Window.partitionBy(*named).orderBy(*by)
-    return (
-        df.withColumns(named)
-        .withColumn("_spot", F.row_number().over(spot))
-        .where(F.col("_spot") == 1)
-        .drop("_spot", *named)
-    )
+    # plain columns are keys as they are: copies of them would be sorted and shuffled, too
+    spot = Window.partitionBy(*exprs).orderBy(*by)
+    return df.withColumn("_spot", F.row_number().over(spot)).where(F.col("_spot") == 1).drop("_spot")
 
 
 def _reversed(order: Column) -> Column:
