@@ -149,7 +149,10 @@ def overlap_links(
     Both sides have columns ``id`` and ``tokens`` (distinct array) plus the
     ``within`` columns that must agree.  With tokens ordered by rarity, two
     sets that reach the threshold share a token among their first
-    n - ceil(threshold * n) + 1, so only these prefixes are joined.
+    n - ceil(threshold * n) + 1, so only these prefixes are joined.  Sizes and
+    places of the token in both sets are part of the key: two sets whose first
+    common token lies too late to leave enough others are never paired, and sets
+    that must be equal meet by all their tokens.
     ``mirrored`` keeps one of the two orders of a self join (id < id).
     """
     within = list(within or [])
@@ -160,33 +163,58 @@ def overlap_links(
         .groupBy(*within, "tok")
         .agg(F.count(F.lit(1)).alias("f"))
     )
+    # the small slack keeps a product such as 0.75 * 4 from rounding up
+    slack = F.lit(1e-9)
+
+    def kept(n: Column) -> Column:
+        return F.least(n - F.ceil(n * F.lit(threshold) - slack).cast("int") + 1, n)
+
+    def needed(n: Column, m: Column) -> Column:
+        """Tokens sets of these sizes must share."""
+        return F.greatest(
+            F.lit(min_shared), F.ceil((n + m) * F.lit(threshold / (1 + threshold)) - slack).cast("int"), F.lit(1)
+        )
 
     def prefixed(side: DataFrame, p: str) -> DataFrame:
+        """A row per set and place in its prefix, and one at place 0 for all its tokens."""
         ranked = (
             side.select("*", F.explode(f"{p}_tokens").alias("tok"))
             .join(freq, [*within, "tok"], "left")
             .groupBy(*within, f"{p}_id", f"{p}_tokens")
             .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "tok"))).alias("o"))
         )
-        n = F.size("o")
-        # the small slack keeps a product such as 0.75 * 4 from rounding up
-        keep = n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
+        whole = F.struct(F.lit(0).cast("bigint").alias("f"), F.to_json("o.tok").alias("tok"))
+        pre = F.slice("o", F.lit(1), kept(F.size("o")))
         return ranked.select(
-            *within, f"{p}_id", f"{p}_tokens", F.slice("o", F.lit(1), F.least(keep, n)).alias(f"{p}_pre")
-        ).select("*", F.explode(f"{p}_pre").alias("e")).select(
-            *within, f"{p}_id", f"{p}_tokens", F.col(f"{p}_pre.tok").alias(f"{p}_pre"),
-            F.col("e.tok").alias("tok"), salts(F.col("e.f")).alias("_s"),
+            *within, f"{p}_id", f"{p}_tokens", pre.getField("tok").alias(f"{p}_pre"), F.size("o").alias(f"{p}_n"),
+            F.posexplode(F.concat(F.array(whole), pre)).alias(f"{p}_at", "e"),
+        ).select(
+            *within, f"{p}_id", f"{p}_tokens", f"{p}_pre", f"{p}_n", f"{p}_at", F.col("e.tok").alias("tok"), salts(F.col("e.f")).alias("_s"),
         )
 
-    lp = prefixed(l, "l").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s")
+    n, at, m = F.col("l_n"), F.col("l_at"), F.col("r_n")
+    least, most = F.ceil(n * F.lit(threshold) - slack).cast("int"), F.floor(n / F.lit(threshold) + slack).cast("int")
+    sized = prefixed(l, "l").withColumn("r_n", F.explode(F.sequence(F.greatest(least, F.lit(1)), most)))
+    need = needed(n, m)
+    equal = (m == n) & (need == n)
+    # the last place in the other set that leaves enough tokens behind it
+    last = F.least(kept(m), m - need + 1)
+    spots = F.when(equal, F.when(at == 0, F.array(F.lit(0)))).when(
+        (at > 0) & (n - at + 1 >= need) & (last >= 1), F.sequence(F.lit(1), last)
+    )
+    lp = sized.withColumn("r_at", F.explode(spots))
+    lp = lp.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s")
     rp = prefixed(r, "r").withColumn("_salt", salt_of(F.col("r_id"), F.col("_s"))).drop("_s")
     shared = F.size(F.array_intersect("l_tokens", "r_tokens"))
     ratio = shared / (F.size("l_tokens") + F.size("r_tokens") - shared)
-    pairs = lp.join(rp, [*within, "tok", "_salt"])
+    # few bytes make many pairs: the number of parts is stated, or adaptive execution would join them in one task
+    key = [*within, "tok", "r_n", "r_at", "_salt"]
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = lp.repartition(parts, *key).join(rp.repartition(parts, *key), key)
     if mirrored:
         pairs = pairs.where(F.col("l_id") < F.col("r_id"))
     return (
         pairs.where((shared >= min_shared) & (ratio >= F.lit(threshold)))
-        .where(F.get(F.array_intersect("l_pre", "r_pre"), F.lit(0)) == F.col("tok"))
+        .where((F.col("l_at") == 0) | (F.get(F.array_intersect("l_pre", "r_pre"), F.lit(0)) == F.col("tok")))
         .select(*within, "l_id", "r_id", ratio.alias("jaccard"))
     )

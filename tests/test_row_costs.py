@@ -1,13 +1,16 @@
 """Work a row costs: no expression is evaluated more often than it has to be."""
 
 import datetime
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from pricelens.catalog import tables as T
 from pricelens.functions.price import PER_100G
 from pricelens.operators.dedupe import archive_keys, dedupe
+from pricelens.plans import blocking
 from pricelens.schema import FEED
 from pricelens.session import configure
 from pricelens.sources import feeds
@@ -83,3 +86,30 @@ def test_dedupe_sorts_no_copies_of_its_keys(spark):
     assert sorted(r.n for r in last.collect()) == [2, 4]
     spec = re.search(r"windowspecdefinition\(([^)]*?) ASC", optimized(plain)).group(1)
     assert [re.sub(r"#.*", "", c) for c in spec.split(", ")][:3] == ["store", "item", "price"]
+
+
+@pytest.mark.parametrize("split", [20_000, 2])
+@pytest.mark.parametrize("threshold, min_shared", [(0.75, 2), (0.75, 1), (0.5, 1), (0.6, 3), (0.8, 1), (1.0, 1)])
+def test_overlap_links_pair_only_places_that_can_suffice(spark, monkeypatch, split, threshold, min_shared):
+    monkeypatch.setattr(blocking, "SPLIT", split)
+    rng = random.Random(7)
+    words = "a b c d e f g h i".split()
+    sets = [sorted(rng.sample(words, rng.randint(1, 7))) for _ in range(70)]
+    left = [(f"l{i:02}", t) for i, t in enumerate(sets[:40])] + [("none", [])]
+    right = [(f"r{i:02}", t) for i, t in enumerate(sets[20:])] + [("r20copy", sets[40])]
+    schema = "id string, tokens array<string>"
+    got = blocking.overlap_links(
+        spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), threshold, min_shared=min_shared
+    ).collect()
+    share = lambda a, b: len(set(a) & set(b))
+    want = {
+        (x, y) for x, a in left for y, b in right
+        if share(a, b) >= min_shared and share(a, b) / (len(a) + len(b) - share(a, b)) >= threshold
+    }
+    assert len(got) == len(want) and {(r.l_id, r.r_id) for r in got} == want
+
+
+def test_overlap_links_join_on_sizes_and_places(spark):
+    sets = spark.createDataFrame([("x", ["a", "b", "c", "d"]), ("y", ["a", "b", "c", "e"])], "id string, tokens array<string>")
+    plan = optimized(blocking.overlap_links(sets, sets, 0.75, mirrored=True))
+    assert re.search(r"Join Inner, .*r_n#\d+ = r_n#\d+.*r_at#\d+ = r_at#\d+", plan)
