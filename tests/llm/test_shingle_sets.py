@@ -103,3 +103,29 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert by[1] == by[2] == {1} and by[3] == by[4] == by[5] == {3} and by[None] == {1, 3} and by[6] == {6}
     assert ss.drop_similar(odd_docs).columns == odd_docs.columns
     assert sorted(r["doc_id"] for r in ss.drop_similar(odd_docs).collect()) == [1, 3, 6, 7, 8]
+
+
+def test_sets_that_no_pair_asks_for_are_not_shuffled(spark, monkeypatch):
+    """Only the sets at a pair's ends travel, and no key's chain carries parity bits; the form for
+    more pairs than are broadcast gives the same components."""
+    plans, written = [], ss.written
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(ss, "written", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = near_copies(random.Random(7))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        want = brute(rows)
+        assert {r["doc_id"]: r["component_id"] for r in ss.similar_texts(docs).collect()} == want
+        asked = [p for p in plans if "LeftSemi" in p and "whole" in p]
+        assert len(asked) == 2 and all("BroadcastHashJoin" in p for p in asked)
+        chains = [p for p in plans if "lead(" in p]
+        assert len(chains) == 1 and "lead(odd" not in chains[0]
+        monkeypatch.setattr(ss, "SENT_PAIRS", 0)
+        assert {r["doc_id"]: r["component_id"] for r in ss.similar_texts(docs).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
