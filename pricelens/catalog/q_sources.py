@@ -26,7 +26,8 @@ KEY = ["order_no", "line_no", "part_no", "supp_no"]
 
 def _feed_documents(spark, sf, which="true"):
     """One landed feed per observation, two items each, in drifting shapes."""
-    obs = observations(spark, sf).where(which)
+    cols = ["order_no", "line_no", "store", "item", "price_text", "obs_date", "status"]
+    obs = observations(spark, sf, cols).where(which)
     none = F.lit(None).cast("string")
     even = F.col("line_no") % 2 == 0
 
@@ -104,9 +105,9 @@ _WEEK_FROM_FEEDS = with_obs(f"""WITH dd AS (SELECT *, row_number() OVER (PARTITI
 @query("weekly_run_from_feeds", _WEEK_FROM_FEEDS)
 def weekly_run_from_feeds(spark, sf):
     """Feeds of the open offers through the whole weekly job; the keys of the archive it leaves."""
-    _, history = current_and_history(spark, sf)
-    feeds = _feed_documents(spark, sf, "status = 'O'")
     cols = ["obs_date", "store", "item", "norm_name", "price", "price_basis", "unit_price", "unit_type", "valid_from", "valid_until"]
+    _, history = current_and_history(spark, sf, cols)
+    feeds = _feed_documents(spark, sf, "status = 'O'")
     _, archive = W.run_from_feeds(feeds, history.select(*cols), date.fromisoformat(AS_OF))
     return archive.select(F.col("obs_date").cast("string").alias("obs_date"), "store", F.lower(F.trim("item")).alias("item"), "price")
 
@@ -193,7 +194,7 @@ def section_slice(spark, sf):
 )
 def coerced_table(spark, sf):
     n = F.col("line_no")
-    drifting = observations(spark, sf).select(
+    drifting = observations(spark, sf, [*KEY, "price", "deal_score", "is_lowest", "category"]).select(
         *KEY,
         F.when(n % 3 == 0, F.lit("n/a")).otherwise(F.col("price").cast("string")).alias("price"),
         F.when(n % 2 != 0, F.col("deal_score").cast("string")).alias("deal_score"),
@@ -241,7 +242,7 @@ def row_count_guard(spark, sf):
 def archive_table_append(spark, sf):
     """Archive written, open rows taken in, and taken in again: the second time changes nothing."""
     cols = ["obs_date", "store", "item", "price", "order_no"]
-    current, history = current_and_history(spark, sf)
+    current, history = current_and_history(spark, sf, cols)
     path = new_path(spark, "archive")
     arrival = [F.col("order_no")]
     for batch in (history, current, current):

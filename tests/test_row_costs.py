@@ -52,6 +52,41 @@ def test_landed_observations_equal_the_spelled_out_view(spark, tmp_path):
     assert len(re.findall(r"l_discount#\d+L? \* ", optimized(got))) == 1
 
 
+def test_only_the_named_columns_are_landed(spark, tmp_path):
+    made = {
+        "lineitem": ([(1, 1, 1, 1, 7.0, 0.05, 0.03, "A", "F", datetime.datetime(1999, 3, 1))],
+                     "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+                     " l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"),
+        "part": ([(1, "red widget", "Brand#1", "PROMO", 1, 9.5)],
+                 "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"),
+        "supplier": ([(1, 1)], "s_suppkey bigint, s_nationkey int"),
+        "nation": ([(1, "a")], "n_nationkey int, n_name string"),
+    }
+    for name, (rows, schema) in made.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    here = str(tmp_path)
+
+    def landed(df):
+        return spark.read.parquet(df.inputFiles()[0]).columns
+
+    narrow = T.observations(spark, here, ["item", "part_no"])
+    assert narrow.columns == landed(narrow) == ["part_no", "item"]
+    assert landed(T.observations(spark, here, ["item"])) == ["part_no", "item"]  # held already
+    assert T.observations(spark, here).columns == list(T.OBS)
+    wide = T.current_and_history(spark, here, ["price"])[1]
+    assert wide.columns == ["price", "status"] and landed(wide) == list(T.OBS) and wide.count() == 1
+    with pytest.raises(ValueError):
+        T.observations(spark, here, ["item", "no_such"])
+
+
+def test_tasks_read_less_at_once_unless_the_caller_says_how_much(spark):
+    other = spark.newSession()
+    key = "spark.sql.files.maxPartitionBytes"
+    assert configure(other).conf.get(key) == "32m"
+    other.conf.set(key, "7m")
+    assert configure(other).conf.get(key) == "7m"
+
+
 def test_methods_too_long_for_the_jit_are_not_generated(spark):
     assert configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
 
