@@ -20,6 +20,12 @@ _SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# what a task reads at once, by Spark's default and here: what is held of it unpacked takes many times its size
+_READ_AT_ONCE = {
+    "spark.sql.files.maxPartitionBytes": ("134217728b", "32m"),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": ("67108864b", "32m"),
+}
+
 
 # work folders of local sessions that name none
 _local_dirs: dict[str, str] = {}
@@ -29,6 +35,9 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings; everything else is left to the caller."""
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
+    for key, (default, value) in _READ_AT_ONCE.items():
+        if spark.conf.get(key) == default:  # a caller's own size stays
+            spark.conf.set(key, value)
     return spark
 
 
