@@ -372,8 +372,9 @@ _CONTEXT = f"""cx AS (SELECT *, {COUNTER} AS per_100g_corrected FROM obs WHERE s
 
 def _context(spark, sf, columns=None):
     current, history = current_and_history(spark, sf, columns)
-    # the corrected tables are read by several parts of the report: write them once
-    fixed, archive = cut_lineage(W.with_counter_fix(current)), cut_lineage(W.clean_archive(history))
+    # the corrected tables are read by several parts of the report: write them once, the archive as far as it is read
+    fixed = cut_lineage(W.with_counter_fix(current))
+    archive = cut_lineage(W.clean_archive(history).select("item", "price", "price_basis", "unit_price", "obs_date"))
     facts = H.deal_context(fixed, archive, F.lit(LAST_DAY))
     text = SC.deal_context_text(
         F.coalesce("per_100g_corrected", F.lit(False)), F.col("unit_price"), F.col("is_lowest"), F.col("months_since_low"),
@@ -428,11 +429,15 @@ _SHORT = """CASE store WHEN 'Real Canadian Superstore' THEN 'Superstore' WHEN 'S
     WHEN 'Calgary Co-op' THEN 'Co-op' ELSE store END"""
 
 
+_REPORT_COLS = [*TIE, "store", "item", "category", "deal_score", "price_basis", "unit_price", "unit_type"]
+
+
 def _picks(spark, sf):
-    fixed, facts = _context(spark, sf)
-    rows = null_safe_join(fixed, facts.select(*_CTX_PROBE, "context_text"), _CTX_PROBE)
-    rows = rows.withColumn("price_note", R.price_note(F.col("price"), F.col("unit_price"), F.col("per_100g_corrected")))
-    return R.report_rollup(fixed), R.report_picks(rows, TIE)
+    fixed, facts = _context(spark, sf, _REPORT_COLS)
+    # every row has one context, so only the rows picked meet theirs
+    picks = null_safe_join(R.report_picks(fixed, TIE), facts.select(*_CTX_PROBE, "context_text"), _CTX_PROBE)
+    note = R.price_note(F.col("price"), F.col("unit_price"), F.col("per_100g_corrected"))
+    return R.report_rollup(fixed), picks.withColumn("price_note", note)
 
 
 @query(

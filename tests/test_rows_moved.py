@@ -1,10 +1,13 @@
 """Rows a query writes and moves: only the columns it reads, and no row once more than needed."""
 
+from glob import glob
+
 from pyspark.sql import functions as F
 
 from pricelens.catalog import tables as T
 from pricelens.operators import market as M
 from pricelens.plans import ranking
+from pricelens.session import work_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,6 +32,29 @@ def test_cross_store_rank_lands_only_what_it_ranks(spark, monkeypatch):
     }
 
 
+def test_store_report_lands_only_what_it_reads(spark, monkeypatch):
+    assert landed_by(spark, monkeypatch, "store_report") == {
+        "order_no", "line_no", "part_no", "supp_no", "status", "store", "item", "category", "deal_score", "price",
+        "price_basis", "unit_price", "unit_type", "obs_date",
+    }
+
+
+def test_price_percentile_share_lands_only_what_it_reads(spark, monkeypatch):
+    assert landed_by(spark, monkeypatch, "price_percentile_share") == {
+        "order_no", "line_no", "part_no", "supp_no", "status", "item", "norm_name", "price", "unit_price", "unit_type",
+    }
+
+
+def test_feed_files_are_packed_and_read_back_whole(spark):
+    import __spark_entry__ as entry
+
+    before = set(glob(f"{work_dir(spark)}/**/feeds-*/part-*", recursive=True))
+    rows = entry.queries()["feed_json_files"](spark, SF).collect()
+    made = set(glob(f"{work_dir(spark)}/**/feeds-*/part-*", recursive=True)) - before
+    assert made and all(f.endswith(".json.gz") for f in made)
+    assert sum(r.n for r in rows) == T.observations(spark, SF, ["order_no"]).count()
+
+
 def test_a_part_text_is_not_moved_to_meet_the_store(spark):
     """The last join is that with the parts, whose texts are long."""
     joins = [line for line in optimized(T.derive_observations(spark, SF)).split("\n") if "Join Inner" in line]
