@@ -73,11 +73,11 @@ def feed_flatten(spark, sf):
     with_obs(f"""SELECT store, count(*) AS n, {rnd('sum(cast(floor(price * 10000.0e0 + 0.5e0) as bigint)) / 10000.0e0')} AS total FROM obs GROUP BY store"""),
 )
 def feed_json_files(spark, sf):
-    """Feeds written as JSON lines and read back with the feed schema."""
+    """Feeds written as JSON lines, packed, and read back with the feed schema."""
     from pricelens.functions.numbers import exact_sum
 
     path = new_path(spark, "feeds")
-    _feed_documents(spark, sf).write.json(path)
+    _feed_documents(spark, sf).write.json(path, compression="gzip")
     return FE.offers(FE.read_feeds(spark, path)).groupBy("store").agg(
         F.count(F.lit(1)).alias("n"), half_up(exact_sum(F.col("price")), 2).alias("total")
     )
