@@ -24,10 +24,12 @@ KEY = ["order_no", "line_no", "part_no", "supp_no"]
 # --- feeds -----------------------------------------------------------------------
 
 
+_FEED_COLS = ["order_no", "line_no", "store", "item", "price_text", "obs_date", "status"]
+
+
 def _feed_documents(spark, sf, which="true"):
     """One landed feed per observation, two items each, in drifting shapes."""
-    cols = ["order_no", "line_no", "store", "item", "price_text", "obs_date", "status"]
-    obs = observations(spark, sf, cols).where(which)
+    obs = observations(spark, sf, _FEED_COLS).where(which)
     none = F.lit(None).cast("string")
     even = F.col("line_no") % 2 == 0
 
@@ -106,7 +108,7 @@ _WEEK_FROM_FEEDS = with_obs(f"""WITH dd AS (SELECT *, row_number() OVER (PARTITI
 def weekly_run_from_feeds(spark, sf):
     """Feeds of the open offers through the whole weekly job; the keys of the archive it leaves."""
     cols = ["obs_date", "store", "item", "norm_name", "price", "price_basis", "unit_price", "unit_type", "valid_from", "valid_until"]
-    _, history = current_and_history(spark, sf, cols)
+    _, history = current_and_history(spark, sf, [*cols, *_FEED_COLS])  # one table for the archive and the feeds
     feeds = _feed_documents(spark, sf, "status = 'O'")
     _, archive = W.run_from_feeds(feeds, history.select(*cols), date.fromisoformat(AS_OF))
     return archive.select(F.col("obs_date").cast("string").alias("obs_date"), "store", F.lower(F.trim("item")).alias("item"), "price")

@@ -30,24 +30,31 @@ OUNCES = SIZE + r"\s*oz\b"
 LITRES = SIZE + r"\s*l\b"
 MILLILITRES = SIZE + r"\s*ml\b"
 COUNTS = r"(\d+)\s*(?:'s|-pack|pack|count|ct|pk)\b"
+# signs and letters that no text of a numeric zero has: such a text is not cast, a failed cast is slow
+NO_ZERO = r"[$/¢%,:;g-oq-wyzG-OQ-WYZ]"
 PRICE_KEYS = ["price", "current_price", "price_text", "sale_price", "original_price"]
 
 
 def number_in(text: Column, pattern: str, group: int = 1) -> Column:
     """A captured number as DOUBLE, null when the pattern does not occur."""
-    return F.regexp_extract(text, pattern, group).try_cast("double")
+    # without an occurrence there is no text to cast: a failed cast costs more than the search
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0)).try_cast("double")
 
 
 def first_filled(*candidates: Column) -> Column:
     """First candidate that is neither null, empty nor a numeric zero."""
     return F.coalesce(
-        *[F.when((c != "") & ~F.coalesce(c.try_cast("double") == 0, F.lit(False)), c) for c in candidates]
+        *[
+            F.when((c != "") & (c.rlike(NO_ZERO) | ~F.coalesce(c.try_cast("double") == 0, F.lit(False))), c)
+            for c in candidates
+        ]
     )
 
 
 def first_number(text: Column) -> Column:
     """First unsigned number of a text without its dollar signs."""
-    return number_in(F.replace(text, F.lit("$"), F.lit("")), AMOUNT)
+    # texts may be long pages: the search ends at the first number
+    return F.regexp_extract(F.replace(text, F.lit("$"), F.lit("")), AMOUNT, 1).try_cast("double")
 
 
 def parse_prices(df: DataFrame, raw: str = "raw_price") -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricelens.catalog import tables as T
-from pricelens.functions.price import PER_100G
+from pricelens.functions.price import PER_100G, first_filled, number_in
 from pricelens.operators.dedupe import archive_keys, dedupe
 from pricelens.plans import blocking
 from pricelens.schema import FEED
@@ -148,3 +148,20 @@ def test_overlap_links_join_on_sizes_and_places(spark):
     sets = spark.createDataFrame([("x", ["a", "b", "c", "d"]), ("y", ["a", "b", "c", "e"])], "id string, tokens array<string>")
     plan = optimized(blocking.overlap_links(sets, sets, 0.75, mirrored=True))
     assert re.search(r"Join Inner, .*r_n#\d+ = r_n#\d+.*r_at#\d+ = r_at#\d+", plan)
+
+
+def test_texts_without_a_number_are_not_cast(spark):
+    texts = ["", "free", "$3.99/lb", "2 for $5", "-.5 off", "12", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select(number_in(F.col("t"), r"([-+]?(?:\d*\.\d+|\d+))").alias("n"))
+    assert [r.n for r in found.collect()] == [None, None, 3.99, 2.0, -0.5, 12.0, None]
+    assert "regexp_extract(" not in optimized(spark.range(1).select(number_in(F.col("id").cast("string"), "(x)")))
+
+
+def test_only_texts_that_can_be_a_zero_are_cast(spark):
+    zeros = ["0", " 0.0 ", "-0", "+.0", "0e3", "0d", "0F", "\t0.00\n", "0x0p0", "", None]
+    filled = ["$0.00", "0/lb", "NaN", "Infinity", "free", "1", "0 kg", "zero", "-", "0¢", "2 for $5"]
+    df = spark.createDataFrame([(t,) for t in zeros + filled], "t string")
+    got = [r.c for r in df.select(first_filled(F.col("t")).alias("c")).collect()]
+    assert got == [None] * len(zeros) + filled
+    assert "RLIKE" in optimized(df.select(first_filled(F.col("t")))).upper()

@@ -88,3 +88,16 @@ def test_best_of_a_name_is_that_of_its_ranked_rows(spark):
         ("Y", "A"): (1, 3, 2.0, "A"), ("Y", "C"): (2, 3, 2.0, "A"), ("Y", "B"): none, ("Z", "A"): none, ("Z", "B"): none,
         ("V", None): none, ("V", "B"): none, (None, "A"): none,
     }
+
+
+def test_weekly_run_from_feeds_lands_one_table(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from pricelens.plans import weekly
+
+    held, seen = {}, []
+    monkeypatch.setattr(T, "_landed", held)
+    monkeypatch.setattr(weekly, "run_from_feeds", lambda feeds, archive, day: seen.extend([feeds, archive]) or (None, archive))
+    entry.queries()["weekly_run_from_feeds"](spark, SF)
+    assert [len(tables) for tables in held.values()] == [1]
+    assert seen[0].columns == ["id", "merchant", "name", "valid_from", "valid_to", "items", "spread_items", "products"]
+    assert "status" not in seen[1].columns and "price_text" not in seen[1].columns
