@@ -79,8 +79,8 @@ scored AS (SELECT c.order_no, c.line_no, c.part_no, c.supp_no, c.store, c.item,
 
 
 def _plain(spark, sf):
-    current, history = current_and_history(spark, sf)
-    return current.drop("is_lowest", "pct_below_avg"), history
+    current, history = current_and_history(spark, sf, [*KEY, *H.NAME, "price", "unit_price", "unit_type"])
+    return current.drop("status"), history
 
 
 @query(
